@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scansio.llm import packing, terms, tokens
+from scansio.llm import lookalike, packing, terms, tokens
 from scansio.session import load
 
 VERSES = "(SELECT DISTINCT ON (verse_id) * FROM verses WHERE verse_id IS NOT NULL ORDER BY verse_id)"
@@ -19,7 +19,14 @@ def p5_found(spark, sf_dir):
     return terms.verse_word_frequencies(load(spark, sf_dir, "verses")).where("mark <> 'kept'").select("term", "mark")
 
 
+def p4_found(spark, sf_dir):
+    pairs = lookalike.same_reading_pairs(load(spark, sf_dir, "verses"), "verse_id", "text_norm", "text_uthmani")
+    return pairs.withColumnsRenamed({"a": "verse_id_a", "b": "verse_id_b"})
+
+
 QUERIES = {
+    "p4_canonical": lambda s, d: lookalike.canonical(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
+    "p4_found": p4_found,
     "p5_terms": lambda s, d: terms.verse_word_frequencies(load(s, d, "verses")),
     "p5_values": lambda s, d: terms.verse_value_frequencies(load(s, d, "verses")),
     "p5_found": p5_found,
