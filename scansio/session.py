@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scansio-checkpoint-"))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once a session: they needn't have it in their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="scansio-package-"), "scansio")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "scansio"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it from there: work that several branches share is done once, and
     a lost executor costs only the reading."""
