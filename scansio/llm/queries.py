@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scansio.llm import lookalike, packing, terms, tokens
+from scansio.llm import lookalike, packing, spans, terms, tokens
 from scansio.session import load
 
 VERSES = "(SELECT DISTINCT ON (verse_id) * FROM verses WHERE verse_id IS NOT NULL ORDER BY verse_id)"
@@ -19,12 +19,29 @@ def p5_found(spark, sf_dir):
     return terms.verse_word_frequencies(load(spark, sf_dir, "verses")).where("mark <> 'kept'").select("term", "mark")
 
 
+_GRAMS = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, verse_id, p, {n} AS n, substr(t, p + 1, {n}) AS gram FROM (SELECT verse_id, {f} AS t, unnest(range(length({f}) - {n} + 1)) AS p FROM {VERSES} WHERE length({f}) >= {n})"
+    for f, n in spans.FIELDS.items()
+)
+_SPANS = f"""WITH g AS ({_GRAMS}),
+    m AS (SELECT field, gram FROM g GROUP BY ALL HAVING count(DISTINCT verse_id) > 1),
+    c AS (SELECT field, verse_id, p, p + n AS e FROM g SEMI JOIN m USING (field, gram)),
+    i AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY field, verse_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= p THEN 0 ELSE 1 END AS new FROM c),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY field, verse_id ORDER BY p) AS run FROM i)
+    SELECT field, verse_id, min(p)::INT AS span_start, (max(e) - min(p))::INT AS span_len FROM r GROUP BY field, verse_id, run"""
+_TOTALS = "SELECT field, verse_id, coalesce(shared, 0)::BIGINT AS shared_chars, n_chars FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, verse_id, length({f})::INT AS n_chars FROM {VERSES} WHERE {f} IS NOT NULL" for f in spans.FIELDS
+) + f") LEFT JOIN (SELECT field, verse_id, sum(span_len) AS shared FROM ({_SPANS}) GROUP BY ALL) USING (field, verse_id)"
+
+
 def p4_found(spark, sf_dir):
     pairs = lookalike.same_reading_pairs(load(spark, sf_dir, "verses"), "verse_id", "text_norm", "text_uthmani")
     return pairs.withColumnsRenamed({"a": "verse_id_a", "b": "verse_id_b"})
 
 
 QUERIES = {
+    "p1_found": lambda s, d: spans.shared_spans(load(s, d, "verses"), "verse_id", spans.FIELDS),
+    "p1_shared": lambda s, d: spans.shared_totals(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p4_canonical": lambda s, d: lookalike.canonical(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
     "p4_found": p4_found,
     "p5_terms": lambda s, d: terms.verse_word_frequencies(load(s, d, "verses")),
@@ -35,6 +52,8 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": _SPANS,
+    "p1_shared": _TOTALS,
     "p5_terms": _frequencies(_TERMS),
     "p5_values": _frequencies(f"(SELECT verse_id, text_norm AS term FROM {VERSES})"),
     "p5_found": f"SELECT term, mark FROM ({_frequencies(_TERMS)}) WHERE mark <> 'kept'",
