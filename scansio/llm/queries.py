@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scansio.llm import lookalike, packing, spans, terms, tokens
+from scansio.llm import lookalike, packing, personal, spans, terms, tokens
 from scansio.session import load
 
 VERSES = "(SELECT DISTINCT ON (verse_id) * FROM verses WHERE verse_id IS NOT NULL ORDER BY verse_id)"
@@ -39,7 +39,13 @@ def p4_found(spark, sf_dir):
     return pairs.withColumnsRenamed({"a": "verse_id_a", "b": "verse_id_b"})
 
 
+def p2_found(spark, sf_dir):
+    return personal.replacements(load(spark, sf_dir, "reports"), "report_id", "notes", "user_agent").select("report_id", "field", "kind", "start_pos")
+
+
 QUERIES = {
+    "p2_redacted": lambda s, d: personal.redacted(load(s, d, "reports"), "report_id", "notes", "user_agent"),
+    "p2_found": p2_found,
     "p1_found": lambda s, d: spans.shared_spans(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p1_shared": lambda s, d: spans.shared_totals(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p4_canonical": lambda s, d: lookalike.canonical(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
