@@ -17,7 +17,7 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,9 +154,10 @@ def same_reading_pairs(df: DataFrame, key: str, *fields: str) -> DataFrame:
     # Exact copies of one value are no case, and most forms have one value only.
     reading = classes(values).select("field", "form", _key(F.col("canonical")).alias("reading"))
     held = mixed.join(reading, ["field", "form"])
-    several = held.groupBy("field", "reading").agg(F.min("a1").alias("a1"), F.max("b1").alias("b1"), F.min("a2").alias("a2"), F.max("b2").alias("b2"))
-    several = several.where((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))).select("field", "reading")
-    forms = reading.join(several, ["field", "reading"], "left_semi")
+    # A window instead of a grouping keeps the forms, so classes and their sort under the collation are needed once.
+    of = Window.partitionBy("field", "reading")
+    several = (F.min("a1").over(of) != F.max("b1").over(of)) | (F.min("a2").over(of) != F.max("b2").over(of))
+    forms = held.withColumn("_several", several).where("_several").select("field", "form", "reading")
     members = rows.join(forms, ["field", "form"]).select("field", "reading", key, "s1", "s2")
     a, b = members.alias("a"), members.alias("b")
     on = (F.col("a.field") == F.col("b.field")) & (F.col("a.reading") == F.col("b.reading")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
