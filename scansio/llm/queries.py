@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scansio.llm import lookalike, packing, personal, spans, terms, tokens
+from scansio.llm import abuse, lookalike, packing, personal, spans, terms, tokens
 from scansio.session import load
 
 VERSES = "(SELECT DISTINCT ON (verse_id) * FROM verses WHERE verse_id IS NOT NULL ORDER BY verse_id)"
@@ -43,7 +43,15 @@ def p2_found(spark, sf_dir):
     return personal.replacements(load(spark, sf_dir, "reports"), "report_id", "notes", "user_agent").select("report_id", "field", "kind", "start_pos")
 
 
+def p8_scores(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return abuse.scored(docs, abuse.fit(docs, load(spark, sf_dir, "doc_reviews")), "source")
+
+
 QUERIES = {
+    "p8_scores": p8_scores,
+    "p8_rates": lambda s, d: abuse.rates(p8_scores(s, d)),
+    "p8_found": lambda s, d: p8_scores(s, d).where("flagged").select("doc_id"),
     "p2_redacted": lambda s, d: personal.redacted(load(s, d, "reports"), "report_id", "notes", "user_agent"),
     "p2_found": p2_found,
     "p1_found": lambda s, d: spans.shared_spans(load(s, d, "verses"), "verse_id", spans.FIELDS),
