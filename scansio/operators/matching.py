@@ -235,3 +235,30 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     scored = verses.join(asked, "block").select("qid", "book", "idx", sc.ratio(F.col("q"), F.col("norm")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "book", "idx")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def match_narrow(queries: DataFrame, corpus: DataFrame, ahead: int = 5, behind: int = 2, threshold: float = 0.35, profile: Profile = PRODUCT) -> DataFrame:
+    """`match` near a hint (hint_surah, hint_ayah): among the hinted verse, the `ahead` next of its book and the `behind`
+    ones before in its surah; a transcript without a hint, or without an answer there that reaches the threshold, is
+    matched against everything. The hinted verse comes first, then those ahead, then those before, where scores are equal.
+    """
+    near = near_hint(queries, corpus, ahead, behind)
+    prepared = queries.withColumn("q", tx.normalize(F.col("text"))).withColumn("qns", tx.no_spaces(F.col("q"))).where("q <> ''").withColumn("qwords", tx.words(F.col("q")))
+    bonuses = cp.continuation_bonuses(prepared, corpus)
+    pairs = near.join(prepared.select("qid", "q", "qns", "qwords"), "qid").join(corpus.select(*VERSE), ["book", "idx"]).join(bonuses, ["qid", "book", "surah", "ayah"], "left")
+    scored = score_pairs(pairs.withColumn("bonus", F.coalesce("bonus", F.lit(0.0))), profile.partial)
+    best = scored.groupBy("qid").agg(F.max_by(F.struct("book", "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("total").alias("score"), "raw", "bonus"), F.struct("total", -F.col("rank"))).alias("m"))
+    answered = best.select("qid", "m.*").where(F.col("score") >= threshold)
+    rest = match(queries.join(answered, "qid", "left_anti"), corpus, Profile(**{**profile.__dict__, "threshold": threshold}))
+    return answered.unionByName(rest)
+
+
+def near_hint(queries: DataFrame, corpus: DataFrame, ahead: int, behind: int) -> DataFrame:
+    """`qid, book, idx, rank` of the verses near a hint, in every book that has the hinted verse: places in a book are
+    consecutive numbers, so the range is a handful of equal keys."""
+    v = corpus.select("book", "idx", "surah", "ayah")
+    at = queries.where("hint_surah IS NOT NULL AND hint_ayah IS NOT NULL").select("qid", F.col("hint_surah").alias("surah"), F.col("hint_ayah").alias("ayah")).join(v, ["surah", "ayah"])
+    reach = at.select("qid", "book", F.col("surah").alias("hs"), F.col("idx").alias("at"), F.explode(F.sequence(F.col("idx") - behind, F.col("idx") + ahead)).alias("idx"))
+    met = reach.join(v.select("book", "idx", "surah"), ["book", "idx"]).where("idx >= at OR surah = hs")
+    order = F.when(F.col("idx") >= F.col("at"), F.col("idx") - F.col("at")).otherwise(F.lit(ahead + 1) + F.col("idx") - F.col("at") + behind)
+    return met.select("qid", "book", "idx", order.alias("rank"))
