@@ -24,6 +24,7 @@ from scansio.functions import distance as ds
 from scansio.functions import score as sc
 from scansio.functions import text as tx
 from scansio.operators import corpus as cp
+from scansio.session import cut
 
 EPSILON = 0.001
 #: Transcripts of a block of a full scan.
@@ -248,7 +249,7 @@ def match_narrow(queries: DataFrame, corpus: DataFrame, ahead: int = 5, behind:
     pairs = near.join(prepared.select("qid", "q", "qns", "qwords"), "qid").join(corpus.select(*VERSE), ["book", "idx"]).join(bonuses, ["qid", "book", "surah", "ayah"], "left")
     scored = score_pairs(pairs.withColumn("bonus", F.coalesce("bonus", F.lit(0.0))), profile.partial)
     best = scored.groupBy("qid").agg(F.max_by(F.struct("book", "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("total").alias("score"), "raw", "bonus"), F.struct("total", -F.col("rank"))).alias("m"))
-    answered = best.select("qid", "m.*").where(F.col("score") >= threshold)
+    answered = cut(best.select("qid", "m.*").where(F.col("score") >= threshold))  # a row a transcript; both branches need it
     rest = match(queries.join(answered, "qid", "left_anti"), corpus, Profile(**{**profile.__dict__, "threshold": threshold}))
     return answered.unionByName(rest)
 

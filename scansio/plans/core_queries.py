@@ -21,7 +21,7 @@ from scansio.operators import neighbours as nb
 from scansio.operators import sequence as sq
 from scansio.operators.dedup import one_per_id
 from scansio.operators.passages import PassageIndex
-from scansio.session import load
+from scansio.session import cut, load
 from scansio.streaming import tracker
 
 QUERIES: dict = {}
@@ -205,6 +205,11 @@ def _(s, d):
 # --- retrieval ----------------------------------------------------------------------------------------------------------
 
 
+def _corpus(s, d) -> DataFrame:
+    """The corpus with its derived columns, written once: matching reads it in several places."""
+    return cut(cp.build(_verses(s, d)))
+
+
 def _asked(s, d) -> DataFrame:
     """The stated query set: every hundredth transcript."""
     return load(s, d, "messages").where("msg_type = 'raw_transcript' AND msg_id % 100 = 0").select(F.col("msg_id").alias("qid"), "text")
@@ -218,7 +223,7 @@ _ASKED = f"(SELECT qid, q, replace(q, ' ', '') AS qns FROM (SELECT msg_id AS qid
     h AS (SELECT qid, book, idx, count(*) AS hits, min(pos) AS first FROM t JOIN q USING (tri) GROUP BY ALL)
     SELECT qid, book, idx, hits, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, first, book, idx) AS rank FROM h) WHERE rank <= 200""")
 def _(s, d):
-    return mt.candidates(mt.prepare(_asked(s, d)), cp.build(_verses(s, d)), 200)
+    return mt.candidates(mt.prepare(_asked(s, d)), _corpus(s, d), 200)
 
 
 @query("full_search_topk", f"""SELECT qid, book, idx, {_R3("score")} AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, book, idx) AS place FROM
@@ -235,18 +240,18 @@ def _rounded_match(m: DataFrame) -> DataFrame:
 
 @query("match_single")
 def _(s, d):
-    got = mt.score_candidates(mt.prepare(_asked(s, d)), cp.build(_verses(s, d)), mt.PRODUCT)
+    got = mt.score_candidates(mt.prepare(_asked(s, d)), _corpus(s, d), mt.PRODUCT)
     return got.where("place <= 10").withColumns({"total": tx.rounded(F.col("total"), 3), "raw": tx.rounded(F.col("raw"), 3)}).drop("best")
 
 
 @query("match_span")
 def _(s, d):
-    return _rounded_match(mt.match(_asked(s, d), cp.build(_verses(s, d))))
+    return _rounded_match(mt.match(_asked(s, d), _corpus(s, d)))
 
 
 @query("match_eval")
 def _(s, d):
-    return _rounded_match(mt.match(_asked(s, d), cp.build(_verses(s, d)), mt.EVAL3))
+    return _rounded_match(mt.match(_asked(s, d), _corpus(s, d), mt.EVAL3))
 
 
 def _hinted(s, d) -> DataFrame:
@@ -260,12 +265,12 @@ def _hinted(s, d) -> DataFrame:
 
 @query("match_hinted")
 def _(s, d):
-    return _rounded_match(mt.match(_hinted(s, d), cp.build(_verses(s, d))))
+    return _rounded_match(mt.match(_hinted(s, d), _corpus(s, d)))
 
 
 @query("match_narrow")
 def _(s, d):
-    return _rounded_match(mt.match_narrow(_hinted(s, d), cp.build(_verses(s, d))))
+    return _rounded_match(mt.match_narrow(_hinted(s, d), _corpus(s, d)))
 
 
 @query("next_verse", f"""WITH c AS (SELECT book, surah, ayah FROM {CORPUS}), f AS (SELECT book, surah, min(ayah) AS f FROM c GROUP BY ALL)
@@ -523,7 +528,7 @@ def _(s, d):
     """Transcripts as chunks of two seconds each, followed in the first book."""
     corpus = cp.build(_verses(s, d))
     book = corpus.agg(F.min("book")).first()[0]
-    chunks = _messages(s, d).where("msg_type = 'raw_transcript'").select("session_id", "seq", F.array_repeat(F.lit(0.1).cast("float"), tracker.SEEK_CYCLE).alias("samples"), "text")
+    chunks = _messages(s, d).where("msg_type = 'raw_transcript'").select("session_id", "seq", F.lit(tracker.SEEK_CYCLE).alias("n_samples"), F.lit(0.1).alias("level"), "text")
     return tracker.track(chunks, PassageIndex.of(corpus, book)).select("session_id", "seq", "n", "type", "surah", "ayah", "confidence", "word_index", "total_words")
 
 

@@ -8,6 +8,7 @@ Rows of a session are taken in the order of `seq`; a row that is no later than o
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -35,7 +36,7 @@ MESSAGE = "session_id long, seq long, n int, type string, surah int, ayah int, c
 
 @dataclass
 class State:
-    sound: list[float] = field(default_factory=list)
+    sound: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     fresh: int = 0
     last: tuple[int, int] | None = None
     last_text: str = ""
@@ -56,12 +57,12 @@ class State:
     seq: int = -1
 
     def dump(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps(asdict(self) | {"sound": base64.b64encode(self.sound.tobytes()).decode()})
 
     @staticmethod
     def load(text: str) -> State:
         pairs = {k: tuple(v) if k in ("last", "before", "verse", "deferred") and v is not None else v for k, v in json.loads(text).items()}
-        return State(**pairs)
+        return State(**pairs | {"sound": np.frombuffer(base64.b64decode(pairs["sound"]), np.float32)})
 
 
 def two_digits(x: float) -> float:
@@ -87,12 +88,12 @@ class Tracker:
     # Each rule below reads and writes the state, and returns messages as dicts.
 
     def step(self, s: State, samples: np.ndarray, text: str | None = None) -> list[dict]:
-        s.sound = [*s.sound, *samples.tolist()][-(FOLLOW_WINDOW if s.verse else SEEK_WINDOW) :]
+        s.sound = np.concatenate([s.sound, samples])[-(FOLLOW_WINDOW if s.verse else SEEK_WINDOW) :]
         s.fresh += len(samples)
         return self._follow(s, samples, text) if s.verse else self._seek(s, text)
 
     def _hear(self, s: State, text: str | None) -> str:
-        return normalized(self.transcribe(np.asarray(s.sound, np.float32), text))
+        return normalized(self.transcribe(s.sound, text))
 
     def _enter(self, s: State, ref: tuple[int, int]) -> None:
         s.verse, s.word, s.quiet, s.stale, s.heard, s.heard_cycles, s.grace = ref, -1, 0, 0, "", 0, 2
@@ -123,7 +124,7 @@ class Tracker:
             return []
         s.fresh = 0
         s.since = None if s.since is None else s.since + 1
-        end = np.asarray(s.sound[-SEEK_CYCLE:])
+        end = s.sound[-SEEK_CYCLE:].astype(np.float64)
         if np.sqrt(np.mean(end * end)) < SILENCE_RMS:
             s.heard, s.heard_cycles = "", 0
             return []
@@ -243,7 +244,7 @@ class Tracker:
             out.append(self._matched(s, (v.surah, v.ayah), 0.99, v.norm))
             self._enter(s, (v.surah, v.ayah))
             s.cooldown = 3
-        s.sound, s.heard, s.heard_cycles = [], "", 0
+        s.sound, s.heard, s.heard_cycles = s.sound[:0], "", 0
         return out
 
 
@@ -272,10 +273,12 @@ def last_text(_: np.ndarray, text: str | None) -> str:
 
 
 def track(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text) -> DataFrame:
-    """The messages of sessions `session_id, seq, samples, text`, in MESSAGE's columns. A session's rows pass in order
+    """The messages of sessions `session_id, seq, samples, text` (or `n_samples, level` for samples), in MESSAGE's columns. A session's rows pass in order
     through one task, batch by batch; only its state is held, never its rows."""
     shared = chunks.sparkSession.sparkContext.broadcast(index)  # at most MOST_VERSES verses
 
+    sounds = ["samples"] if "samples" in chunks.columns else ["n_samples", "level"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, s, session = Tracker(shared.value, transcribe), State(), None
         for pdf in batches:
@@ -283,11 +286,20 @@ def track(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_
             for own, part in pdf.groupby("session_id", sort=False):
                 if own != session:
                     s, session = State(), own
-                rows += _rows(tracker, s, own, zip(part["seq"], part["samples"], part["text"]))
+                rows += _rows(tracker, s, own, zip(part["seq"], _sounds(part), part["text"]))
             yield _frame(rows)
 
-    ordered = chunks.select("session_id", "seq", "samples", "text").where("session_id IS NOT NULL AND seq IS NOT NULL").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return ordered.mapInPandas(run, MESSAGE)
+    ordered = chunks.select("session_id", "seq", *sounds, "text").where("session_id IS NOT NULL AND seq IS NOT NULL")
+    # The work is in Python, which the sizes of partitions don't tell: their number is fixed, so that none are merged.
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.sparkSession.sparkContext.defaultParallelism)
+    return ordered.repartition(parts, "session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, MESSAGE)
+
+
+def _sounds(part: pd.DataFrame) -> Iterator[np.ndarray]:
+    """The samples of chunks, or even ones of a level where only that and their number are given."""
+    if "samples" in part:
+        return iter(part["samples"])
+    return (np.full(int(n), level, np.float32) for n, level in zip(part["n_samples"], part["level"]))
 
 
 def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text) -> DataFrame:
@@ -296,7 +308,7 @@ def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = State.load(state.get[0]) if state.exists else State()
-        rows = sorted((r for pdf in batches for r in zip(pdf["seq"], pdf["samples"], pdf["text"])), key=lambda r: r[0])
+        rows = sorted((r for pdf in batches for r in zip(pdf["seq"], _sounds(pdf), pdf["text"])), key=lambda r: r[0])
         out = _rows(Tracker(shared.value, transcribe), s, key[0], iter(rows))
         state.update((s.dump(),))
         yield _frame(out)
