@@ -40,11 +40,13 @@ class Store:
     objects: DataFrame
 
 
-def identity(kind: str, own: Column, *children: Column) -> Column:
-    """128 bits of the hash over kind, own fields (as JSON with fields in their order, nulls left out) and the
-    identities of children (null elements count)."""
-    parts = [F.to_json(own), *[F.coalesce(F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit("-"))), ","), F.lit("none")) for c in children]]
-    return F.substring(F.sha2(F.concat_ws("\n", F.lit(kind), *parts), 256), 1, 32)
+def identity(kind: str, own: Column, names: Sequence[str], *children: Column) -> Column:
+    """128 bits of the hash over kind, own fields in their order and the identities of children (null elements count).
+    Each field is written with its length before it, so that no two objects are written alike; a null has no length."""
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    parts = [field(own[n].cast("string")) for n in names]
+    held = [F.coalesce(F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit("-"))), ","), F.lit("none")) for c in children]
+    return F.substring(F.sha2(F.concat_ws("\n", F.lit(kind), *parts, *held), 256), 1, 32)
 
 
 # --- page layouts ---------------------------------------------------------------------------------------------------
@@ -58,13 +60,13 @@ def _pick(o: Column, names: Sequence[str]) -> Column:
 
 
 def _word(w: Column) -> Column:
-    return F.when(w.isNotNull(), let(_pick(w, WORD_FIELDS), lambda own: F.struct(identity("word", own).alias("id"), own.alias("own"), F.coalesce(own["location"], F.lit("")).alias("label"))))
+    return F.when(w.isNotNull(), let(_pick(w, WORD_FIELDS), lambda own: F.struct(identity("word", own, WORD_FIELDS).alias("id"), own.alias("own"), F.coalesce(own["location"], F.lit("")).alias("label"))))
 
 
 def _line(o: Column) -> Column:
     def held(words: Column) -> Column:
         own = _pick(o, LINE_FIELDS)
-        return F.struct(identity("line", own, F.transform(words, lambda w: w["id"])).alias("id"), own.alias("own"), words.alias("words"))
+        return F.struct(identity("line", own, LINE_FIELDS, F.transform(words, lambda w: w["id"])).alias("id"), own.alias("own"), words.alias("words"))
 
     return F.when(o.isNotNull(), let(F.transform(o["words"], _word), held))
 
@@ -149,7 +151,7 @@ def _child(kind: str) -> Callable[[Column], Column]:
     def held(o: Column, at: Column) -> Column:
         own = F.struct(at["surah"].alias("surah"), at["ayah"].alias("ayah"), *[_field(o, n, t).alias(n) for n, t in CHILD_FIELDS[kind].items()], _others(o, kind).alias("others"))
         ref = F.when(at["surah"].isNotNull() & at["ayah"].isNotNull(), F.concat_ws(":", at["surah"], at["ayah"])).otherwise("")
-        return let(own, lambda x: F.struct(identity(kind, x).alias("id"), x.alias("own"), ref.alias("label")))
+        return let(own, lambda x: F.struct(identity(kind, x, ("surah", "ayah", *CHILD_FIELDS[kind], "others")).alias("id"), x.alias("own"), ref.alias("label")))
 
     return lambda o: F.when(_is_object(o), let(_places(o), lambda at: held(o, at)))
 
@@ -164,7 +166,7 @@ def event_objects(diagnostics: DataFrame) -> DataFrame:
 
         def with_children(c: Column) -> Column:
             ids = [F.transform(c[k], lambda x: x["id"]) for k in CHILD_ARRAYS]
-            return F.struct(identity("event", own, *ids).alias("id"), own.alias("own"), *[c[k].alias(k) for k in CHILD_ARRAYS])
+            return F.struct(identity("event", own, ("ts_ms", "event_type", "data", "unread"), *ids).alias("id"), own.alias("own"), *[c[k].alias(k) for k in CHILD_ARRAYS])
 
         return let(children, with_children)
 
