@@ -27,6 +27,11 @@ def test_found(text, items):
     assert [(k, text[a:b]) for k, a, b in pi.find(text)] == items
 
 
+def test_numbers_of_six_digits_are_found_alone():
+    for text, item in (("my ID is QQ 92 35 49 A.", "QQ 92 35 49 A"), ("SSN QQ831291A.", "QQ831291A")):
+        assert [(k, text[a:b]) for k, a, b in pi.find(text)] == [("id_number", item)]
+
+
 def test_surrogates_keep_kind_and_format():
     for text, items in TEXTS:
         for kind, item in items:
