@@ -192,10 +192,39 @@ def _(s, d):
 
 @query("window_match")
 def _(s, d):
-    p = _pairs(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id").select("verse_id", sc.window_match(F.slice(F.split("a", " "), 1, 3), F.split("b", " ")).alias("m"))
+    p = _pairs(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id").select("verse_id", sc.window_match(F.split("a", " "), F.split("b", " ")).alias("m"))
     return p.select("verse_id", tx.rounded(F.col("m.score"), 3).alias("score"), "m.start", "m.end")
 
 
+# The same scores over whole texts; `word_match_pairs`, `partial_ratio_best` and `fragment_score_pairs` are those of the first words.
+
+
+@query("word_match_places", f"""SELECT verse_id, pos::INT AS pos, {_R3(f"CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE {_ratio('a', 'b')} END")} AS similarity, a = b OR (length(a) > 2 AND length(b) > 2 AND {_ratio('a', 'b')} >= 0.7) AS matches FROM
+    (SELECT verse_id, pos, aw[pos + 1] AS a, bw[pos + 1] AS b FROM (SELECT *, unnest(range(greatest(len(aw), len(bw)))) AS pos FROM (SELECT verse_id, string_split(a, ' ') AS aw, string_split(b, ' ') AS bw FROM {_PAIRS}))) WHERE a IS NOT NULL AND b IS NOT NULL
+    UNION ALL SELECT verse_id, unnest(range(least(n, m), greatest(n, m)))::INT, NULL, NULL FROM (SELECT verse_id, len(string_split(a, ' ')) AS n, len(string_split(b, ' ')) AS m FROM {_PAIRS})""")
+def _(s, d):
+    """Every place of either text; null where only one of them has a word."""
+    a, b = F.col("w.a"), F.col("w.b")
+    p = _pairs(s, d).select("verse_id", F.posexplode(F.arrays_zip(F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))).alias("pos", "w"))
+    there = a.isNotNull() & b.isNotNull()
+    return p.select("verse_id", "pos", F.when(there, tx.rounded(sc.word_similarity(a, b), 3)).alias("similarity"), F.when(there, sc.words_match(a, b)).alias("matches"))
+
+
+_SHORT_TEXT = f"(SELECT verse_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {_PAIRS})"
+
+
+@query("partial_ratio_texts", f"SELECT verse_id, {_R3('max(r)')} AS best FROM (SELECT verse_id, CASE WHEN s = '' THEN 0.0 ELSE {_ratio('s', 'w')} END AS r FROM (SELECT verse_id, s, substr(l, p, length(s)) AS w FROM (SELECT *, unnest(range(1, length(l) - length(s) + 2)) AS p FROM {_SHORT_TEXT}))) GROUP BY verse_id")
+def _(s, d):
+    p = _pairs(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id")
+    return p.select("verse_id", tx.rounded(sc.partial_ratio(F.col("a"), F.col("b")), 3).alias("best"))
+
+
+@query("fragment_score_texts")
+def _(s, d):
+    p = _pairs(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id")
+    return p.select("verse_id", sc.semi_global(F.col("a"), F.col("b")).alias("distance"), tx.rounded(sc.fragment(F.col("a"), F.col("b")), 3).alias("fragment"))
+
+
 @query("align_words")
 def _(s, d):
     p = _pairs(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id")
