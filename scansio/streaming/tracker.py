@@ -16,11 +16,12 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scansio.functions import score as sc
 from scansio.functions.pytext import normalized
-from scansio.operators.passages import Answer, PassageIndex
+from scansio.operators.passages import MOST_VERSES, Answer, PassageIndex, Verse
 
 # Samples: of a cycle and of the longest window when discovering and when following; of silence that ends following.
 SEEK_CYCLE, SEEK_WINDOW, FOLLOW_CYCLE, FOLLOW_WINDOW, SILENCE_END = 32_000, 160_000, 8_000, 80_000, 32_000
@@ -302,6 +303,50 @@ def _sounds(part: pd.DataFrame) -> Iterator[np.ndarray]:
     return (np.full(int(n), level, np.float32) for n, level in zip(part["n_samples"], part["level"]))
 
 
+#: Parts of a book's sessions, each with its own copy of the book.
+SPLIT = 4
+VERSE = ["surah", "ayah", "text_uthmani", "surah_name", "norm", "ns", "no_bsm", "no_bsm_ns", "words"]
+
+
+def track_books(chunks: DataFrame, corpus: DataFrame, transcribe: Transcribe = last_text) -> DataFrame:
+    """`track` of every session in every book: MESSAGE's columns after `book`. No book is left out beforehand, so the work
+    is sessions times books. The verses of a book come before the chunks of
+    its sessions in the same task, which holds one book's index and one session's state at a time."""
+    sounds = ["samples"] if "samples" in chunks.columns else ["n_samples", "level"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, verses, tracker, s, session = None, [], None, State(), None
+        for pdf in batches:
+            frames = []
+            for (own, at, is_chunk, who), part in pdf.groupby(["book", "part", "is_chunk", "session_id"], sort=False, dropna=False):
+                if (own, at) != book:
+                    book, verses, tracker, session = (own, at), [], None, None
+                if not is_chunk:
+                    verses += [Verse(v["surah"], v["ayah"], v["text_uthmani"] or "", v["surah_name"] or "", v["norm"], v["ns"], v["no_bsm"], v["no_bsm_ns"], list(v["words"])) for v in part["verse"]]
+                    if len(verses) > MOST_VERSES:
+                        raise ValueError(f"{own}: an index holds {MOST_VERSES} verses at most")
+                    continue
+                if tracker is None:
+                    tracker = Tracker(PassageIndex(verses), transcribe)
+                if who != session:
+                    s, session = State(), who
+                got = _frame(_rows(tracker, s, int(who), zip(part["seq"].astype("int64"), _sounds(part), part["text"])))
+                got.insert(0, "book", own)
+                frames.append(got)
+            if frames:
+                yield pd.concat(frames)
+
+    heard = chunks.select("session_id", "seq", *sounds, "text").where("session_id IS NOT NULL AND seq IS NOT NULL")
+    part = F.pmod(F.xxhash64("session_id"), F.lit(SPLIT)).cast("int")
+    asked = heard.crossJoin(F.broadcast(corpus.select("book").distinct())).select("book", part.alias("part"), F.lit(True).alias("is_chunk"), "session_id", "seq", *sounds, "text")
+    # Verses come first, in the order of their own place in the book.
+    read = corpus.select("book", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"), F.lit(False).alias("is_chunk"), F.col("idx").cast("long").alias("seq"), F.struct(*VERSE).alias("verse"))
+    # As many partitions as `track` has: the work is in Python, which sizes don't tell.
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.sparkSession.sparkContext.defaultParallelism)
+    both = read.unionByName(asked, allowMissingColumns=True).repartition(parts, "book", "part").sortWithinPartitions("book", "part", "is_chunk", "session_id", "seq")
+    return both.mapInPandas(run, f"book string, {MESSAGE}")
+
+
 def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text) -> DataFrame:
     """The same over a stream: state is kept by session, each micro-batch is taken in the order of `seq`."""
     shared = chunks.sparkSession.sparkContext.broadcast(index)
