@@ -242,6 +242,36 @@ def events_table(diagnostics: DataFrame) -> DataFrame:
     return at.select(F.col("root_id").alias("diag_id"), F.col("ordinal").alias("outer_pos"), "event.own.ts_ms", "event.own.event_type", F.col("event.own.data").isNotNull().alias("is_read"), *n)
 
 
+#: Fields of an event's `data` beside `surah` and `ayah` that hold one value, and the array that holds numbers.
+EVENT_FIELDS = {"word_index": "int", "total_words": "int", "confidence": "double", "transcript": "string", "text": "string"}
+INDICES = "matched_indices"
+
+
+def _read_events(diagnostics: DataFrame) -> DataFrame:
+    """`diag_id, outer_pos, v` of every event that was read; `v` is its data."""
+    at = one_per_id(diagnostics, "diag_id", "events").select("diag_id", F.posexplode("events").alias("outer_pos", "e")).where(F.col("e").isNotNull())
+    return at.select("diag_id", "outer_pos", F.explode(F.array(unwrapped(F.col("e.data")))).alias("v"))
+
+
+def event_fields_table(diagnostics: DataFrame) -> DataFrame:
+    """`diag_id, outer_pos, surah, ayah`, EVENT_FIELDS and `n_matched_indices` (null where there is no such array) of the
+    data of every event, one row an event as in `events_table`; JSON of all other fields but the children in `others`."""
+    v = F.col("v")
+    number = {"int": lambda n: _number(_field(v, n, "string")), "double": lambda n: _plain(_field(v, n, "string")).try_cast("double")}
+    own = [number.get(t, lambda n: _field(v, n, "string"))(n).alias(n) for n, t in EVENT_FIELDS.items()]
+    known = ["surah", "ayah", "ref", INDICES, *EVENT_FIELDS, *CHILD_ARRAYS.values()]
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.lower(k).isin(known))
+    n = F.size(_field(v, INDICES, "array<variant>"))
+    placed = _read_events(diagnostics).withColumn("at", F.when(_is_object(v), _places(v)))
+    return placed.select("diag_id", "outer_pos", "at.surah", "at.ayah", *own, F.when(n >= 0, n).alias("n_matched_indices"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("others"))
+
+
+def indices_table(diagnostics: DataFrame) -> DataFrame:
+    """`diag_id, outer_pos, inner_pos, word` of every place of an event's `matched_indices`; null where it is no number."""
+    at = _read_events(diagnostics).select("diag_id", "outer_pos", F.posexplode(_field(F.col("v"), INDICES, "array<variant>")).alias("inner_pos", "i"))
+    return at.select("diag_id", "outer_pos", "inner_pos", _number(F.try_variant_get("i", "$", "string")).alias("word"))
+
+
 def children_table(diagnostics: DataFrame, kind: str) -> DataFrame:
     """`diag_id, outer_pos, inner_pos`, a candidate's or surrounding verse's own fields and `verse_ref`."""
     at = event_objects(diagnostics).select("root_id", "ordinal", F.posexplode(f"event.{kind}").alias("inner_pos", "c")).where(F.col("c").isNotNull())

@@ -41,6 +41,12 @@ QUERIES = {
     "p3_lines": lambda s, d: nested.lines_table(load(s, d, "mushaf_pages")),
     "p3_words": lambda s, d: nested.words_table(load(s, d, "mushaf_pages")),
     "p3_events": lambda s, d: nested.events_table(load(s, d, "diagnostics")),
+    "p3_event_fields": lambda s, d: nested.event_fields_table(load(s, d, "diagnostics")),
+    "p3_event_indices": lambda s, d: nested.indices_table(load(s, d, "diagnostics")),
+    "p3_event_roots": lambda s, d: nested.event_store(load(s, d, "diagnostics")).roots,
+    "p3_event_bridge": lambda s, d: nested.event_store(load(s, d, "diagnostics")).bridge,
+    "p3_layout_roots": lambda s, d: nested.layout_store(load(s, d, "mushaf_pages")).roots,
+    "p3_layout_bridge": lambda s, d: nested.layout_store(load(s, d, "mushaf_pages")).bridge,
     "p3_candidates": lambda s, d: nested.children_table(load(s, d, "diagnostics"), "candidate").drop("others"),
     "p3_surrounding": lambda s, d: nested.children_table(load(s, d, "diagnostics"), "surrounding").drop("others"),
     "p3_objects": lambda s, d: nested.layout_store(load(s, d, "mushaf_pages")).objects.groupBy("kind").agg(F.count(F.lit(1)).alias("objects"), F.sum("occurrences").alias("occurrences")),

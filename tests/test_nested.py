@@ -61,3 +61,31 @@ def test_layouts(spark):
 def test_empty_tables(spark):
     assert nested.all_occurrences(spark.createDataFrame([], PAGE), spark.createDataFrame([], DIAG)).count() == 0
     assert nested.events_table(spark.createDataFrame([], DIAG)).count() == 0
+
+
+def test_data_of_events_is_flat(spark):
+    datas = [
+        json.dumps({"surah": 2, "ayah": "٣", "word_index": 4, "total_words": 9, "confidence": 0.5, "matched_indices": [0, None, 2, 2], "kept": [1]}),
+        json.dumps(json.dumps({"payload": {"Ref": "5:6", "transcript": "a b", "text": "c", "confidence": "0.25"}})),
+        "broken",
+        None,
+        "[1]",
+        json.dumps({"matched_indices": [], "candidates": [{"surah": 1, "ayah": 1}]}),
+    ]
+    got = {r.outer_pos: r for r in nested.event_fields_table(diag(spark, *datas)).collect()}
+    assert sorted(got) == [0, 1, 2, 4, 5]
+    assert tuple(got[0])[2:] == (2, 3, 4, 9, 0.5, None, None, 4, '{"kept":[1]}')
+    assert tuple(got[1])[2:] == (5, 6, None, None, 0.25, "a b", "c", None, None)
+    assert tuple(got[5])[2:] == (None,) * 7 + (0, None) and set(tuple(got[2])[2:]) == set(tuple(got[4])[2:]) == {None}
+    rows = sorted((r.outer_pos, r.inner_pos, r.word) for r in nested.indices_table(diag(spark, *datas)).collect())
+    assert rows == [(0, 0, 0), (0, 1, None), (0, 2, 2), (0, 3, 2)]
+
+
+def test_stores_join_back_to_their_records(spark, sf):
+    from scansio.plans import nested_queries as nq
+
+    q = {n: f(spark, sf) for n, f in nq.QUERIES.items() if n in ("p3_event_roots", "p3_event_bridge", "p3_layout_roots", "p3_layout_bridge", "p3_store", "p3_found", "p3_events")}
+    n = q["p3_event_roots"].join(q["p3_store"].where("kind = 'event'"), F.col("child_id") == F.col("object_id")).count()
+    assert n == q["p3_events"].count() > 0
+    linked = sum(q[f"p3_{k}_roots"].select(F.col("child_id").alias("parent_id")).join(q[f"p3_{k}_bridge"].where("child_id IS NOT NULL"), "parent_id").count() for k in ("event", "layout"))
+    assert linked == q["p3_found"].count() > 0
