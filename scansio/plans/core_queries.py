@@ -7,6 +7,8 @@ themselves count characters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def folded(c: Column) -> Column:
 
 # --- SQL that several queries share -----------------------------------------------------------------------------------
 
-_DIA = "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6DC), (0x6DF, 0x6E4), (0x6E7, 0x6E8), (0x6EA, 0x6ED)))
+_hex = lambda ranges: re.sub(r"\\u(\w{4})", r"\\x{\1}", ranges)  # noqa: E731  (the same ranges as DuckDB writes them)
+_DIA = _hex(tx.DIACRITICS)
 _WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -109,7 +112,7 @@ def _(s, d):
     return v.select("verse_id", tx.normalize_light(c).alias("light"), tx.normalize_display(c).alias("display"), tx.starts_with_opening(c).alias("opens"), tx.preview(c).alias("preview"), tx.strip_diacritics(c).alias("bare"))
 
 
-@query("display_words", f"SELECT verse_id, unnest(string_split(regexp_replace(text_uthmani, ' ([{chr(0x6D6)}-{chr(0x6DC)}]{{1,2}})( |$)', chr(1) || '\\1\\2', 'g'), ' ')) AS w FROM {_ONE} WHERE text_uthmani IS NOT NULL".replace("AS w FROM", "AS raw FROM").join(("SELECT verse_id, replace(raw, chr(1), ' ') AS word FROM (", ")")))
+@query("display_words", f"SELECT verse_id, unnest(string_split(regexp_replace(text_uthmani, ' ([{_hex(tx.PAUSE_MARKS)}]{{1,2}})( |$)', chr(1) || '\\1\\2', 'g'), ' ')) AS w FROM {_ONE} WHERE text_uthmani IS NOT NULL".replace("AS w FROM", "AS raw FROM").join(("SELECT verse_id, replace(raw, chr(1), ' ') AS word FROM (", ")")))
 def _(s, d):
     v = one_per_id(_verses(s, d), "verse_id", "text_uthmani")
     return v.select("verse_id", F.explode(tx.display_words(F.col("text_uthmani"))).alias("word"))
@@ -388,10 +391,11 @@ def _(s, d):
     return _classified(s, d)
 
 
+_EXACT = "avg((class = 'exact')::INT)"
 _LENIENT = "('exact', 'equivalent', 'within1', 'within2')"
 
 
-@query("eval_by_category", f"SELECT category, count(*) AS n, {_R3(chr(97) + 'vg((class = ' + chr(39) + 'exact' + chr(39) + ')::INT)', 4)} AS exact, {_R3(f'avg((class IN {_LENIENT})::INT)', 4)} AS lenient FROM {_CLASS} GROUP BY ROLLUP (category)")
+@query("eval_by_category", f"SELECT category, count(*) AS n, {_R3(_EXACT, 4)} AS exact, {_R3(f'avg((class IN {_LENIENT})::INT)', 4)} AS lenient FROM {_CLASS} GROUP BY ROLLUP (category)")
 def _(s, d):
     return ev.accuracy(_classified(s, d), "category").withColumns({n: tx.rounded(F.col(n), 4) for n in ("exact", "lenient")})
 
@@ -401,7 +405,7 @@ def _(s, d):
     return ev.accuracy(_classified(s, d), "source").select("source", "n", tx.rounded(F.col("lenient"), 4).alias("lenient"))
 
 
-@query("eval_class_table", f"SELECT category, {', '.join(f'count(*) FILTER (class = {chr(39)}{k}{chr(39)}) AS {k}' for k in ev.CLASSES)} FROM {_CLASS} GROUP BY category")
+@query("eval_class_table", f"SELECT category, {', '.join(f"count(*) FILTER (class = '{k}') AS {k}" for k in ev.CLASSES)} FROM {_CLASS} GROUP BY category")
 def _(s, d):
     return ev.class_table(_classified(s, d), "category")
 

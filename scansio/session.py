@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -30,10 +31,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where none is set, as in tests, a folder of our own."""
+    """Use the shared folder named by spark.checkpoint.dir. Only a session on one machine, as in tests, may do without:
+    it gets a folder of its own. On a cluster a folder of the driver's machine would lose data, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scansio-checkpoint-"))
 
 
