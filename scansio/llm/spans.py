@@ -8,30 +8,35 @@ document past every shard would compare all text with all text, so documents mee
    records that share a stretch of the least length share a whole window and thereby its anchor.
 2. An anchor that more than one record holds is shared. Counting needs one row per anchor and task, however common it is.
    Each anchor carries a signature of the set of its records; anchors of one signature need to meet only once.
-3. The regions of text around shared anchors are sent to the signature's place. There shards of about `shard_chars` are
-   filled with whole signatures, an automaton is built over each, and its documents stream through it. A signature with
-   more text than that is cut into several automata, one after another, so memory stays bounded.
-4. An anchor held by more than `hot_records` records would gather too much text in one place. The stretches of the least
-   length around it are counted by their hash instead, as rows that combine before they are shuffled.
+3. The regions of text around shared anchors are sent to the signature's place. Copies are combined before that: of a
+   region's text that many records hold, one row with the least and greatest of its owners travels, and its places are
+   joined back at the end. There shards of about `shard_chars` are filled with whole signatures, an automaton is built
+   over each, and its documents stream through it. A signature with more text than a shard is cut into several automata,
+   one after another; no task ever holds more than `group_chars` of one.
+4. A signature with more distinct text than `group_chars` is told apart further, by grams as long as the least length
+   itself: every such stretch is a place of its own, where by then all text is the same and copies are one row.
 
 Matches are exact; anchors only decide who meets whom.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.session import cut
+
 #: Least lengths in code points of the queries' fields.
 FIELDS = {"text_norm": 60, "text_uthmani": 100}
-#: Characters in one automaton, and records from which an anchor is hot.
+#: Characters in one automaton, and of distinct regions that meet in one task.
 SHARD_CHARS = 100_000
-HOT_RECORDS = 1000
+GROUP_CHARS = 400_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 
@@ -214,22 +219,16 @@ def _shards(regions: list[tuple[str, int, int]], chars: int) -> Iterator[list[tu
         yield some
 
 
-def covered(regions: list[tuple[int, int, str]], least: int, shard_chars: int = SHARD_CHARS) -> list[tuple[int, int, int]]:
-    """Of `owner, offset, text` regions that meet: `owner, start, end` of what another owner's regions hold as well.
-
-    Regions of the same text are one text of the automaton, with the range of their owners.
-    """
-    same: dict[str, list[int]] = {}
-    for owner, _, text in regions:
-        r = same.setdefault(text, [owner, owner])
-        r[0], r[1] = min(r[0], owner), max(r[1], owner)
-    runs: dict[str, list[tuple[int, int]]] = {t: [] for t in same}
-    for shard in _shards([(t, lo, hi) for t, (lo, hi) in same.items()], shard_chars):
+def covered(texts: list[tuple[str, int, int]], least: int, shard_chars: int = SHARD_CHARS) -> list[list[tuple[int, int]]]:
+    """Of each of some distinct texts, with their least and greatest owner, the runs `start, end` that another owner's
+    texts hold as well. Where several owners hold a text, any of them has another beside it."""
+    runs: list[list[tuple[int, int]]] = [[] if low == high else [(0, len(text))] for text, low, high in texts]
+    for shard in _shards(texts, shard_chars):
         automaton = Automaton(shard)
-        for text, (lo, hi) in same.items():
-            # Where several owners hold the whole text, any of them has another beside it.
-            runs[text] += automaton.shared(text, lo, least) if lo == hi else [(0, len(text))]
-    return [(owner, offset + s, offset + e) for owner, offset, text in regions for s, e in runs[text]]
+        for own, (text, low, high) in zip(runs, texts):
+            if low == high:
+                own += automaton.shared(text, low, least)
+    return runs
 
 
 def _pieces(text: str, places: list[int], least: int, longest: int) -> Iterator[tuple[int, str]]:
@@ -250,22 +249,19 @@ def _pieces(text: str, places: list[int], least: int, longest: int) -> Iterator[
         yield s, text[s:e]
 
 
-def shared_spans(df: DataFrame, key: str, fields: dict[str, int], shard_chars: int = SHARD_CHARS, hot_records: int = HOT_RECORDS) -> DataFrame:
-    """`field, key, span_start, span_len` of every maximal run of shared characters of a value.
-
-    A character is shared if it lies in a stretch of at least `fields[field]` code points that occurs, code point for
-    code point, in the same field of another `key` (a 64-bit integer). Rows of one key are one record; if their values
-    differ, the greatest by Spark's ordering counts. Null, empty and short values have no shared characters.
-    """
+def regions_of(df: DataFrame, key: str, fields: dict[str, int], longest: int = SHARD_CHARS // 4) -> DataFrame:
+    """`_f, _sig, _id, _at, _text`: the regions around shared anchors of every record, each by the signature under which
+    it meets those that may share a stretch with it."""
     names = list(fields)
     records = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *[F.when(F.length(f) >= fields[f], F.col(f)).alias(f) for f in names])
     listed = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f"_a{i}").alias("_h")) for i in range(len(names))])
-    hashed = records.where(F.coalesce(*names).isNotNull()).select("_id", *[_anchor_column(fields[f])(f).alias(f"_a{i}") for i, f in enumerate(names)])
+    # Redelivered rows are resolved first: a record that came twice would cancel out of the signatures.
+    texts = records.where(F.coalesce(*names).isNotNull()).groupBy("_id").agg(F.max(F.struct(*names)).alias("_t"))
+    hashed = texts.select("_id", *[_anchor_column(fields[f])(f"_t.{f}").alias(f"_a{i}") for i, f in enumerate(names)])
     held = hashed.select("_id", F.explode(listed).alias("_l")).select("_id", "_l._f", F.explode("_l._h").alias("_h"))
-    met = held.groupBy("_f", "_h").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.bit_xor(F.xxhash64("_id", "_f")).alias("_sig"), F.count(F.lit(1)).alias("_n"))
-    met = met.where(F.col("_lo") != F.col("_hi")).select("_f", "_h", "_sig", (F.col("_n") > hot_records).alias("_hot"))
-    by_record = held.join(met, ["_f", "_h"]).groupBy("_id").agg(F.collect_set(F.struct("_f", "_h", "_sig", "_hot")).alias("_met"))
-    texts = records.groupBy("_id").agg(F.max(F.struct(*names)).alias("_t"))
+    met = held.groupBy("_f", "_h").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.bit_xor(F.xxhash64("_id", "_f")).alias("_sig"))
+    met = met.where(F.col("_lo") != F.col("_hi")).select("_f", "_h", "_sig")
+    by_record = held.join(met, ["_f", "_h"]).groupBy("_id").agg(F.collect_list(F.struct("_f", "_h", "_sig")).alias("_met"))
     suspects = texts.join(by_record, "_id").select("_id", "_met", *[F.col(f"_t.{f}").alias(f"_t{i}") for i, f in enumerate(names)])
     leasts = [fields[f] for f in names]
 
@@ -279,61 +275,99 @@ def shared_spans(df: DataFrame, key: str, fields: dict[str, int], shard_chars: i
                 rows, places, hashes = anchors([t for _, t, _ in where], least)
                 cut = np.searchsorted(rows, np.arange(len(where) + 1))
                 for j, (owner, text, met_here) in enumerate(where):
-                    about = {x["_h"]: (x["_sig"], x["_hot"]) for x in met_here if x["_f"] == i}
-                    by_sig: dict[tuple[int, bool], list[int]] = {}
+                    about = {x["_h"]: x["_sig"] for x in met_here if x["_f"] == i}
+                    by_sig: dict[int, list[int]] = {}
                     for p, h in zip(places[cut[j] : cut[j + 1]].tolist(), hashes[cut[j] : cut[j + 1]].tolist()):
                         if h in about:
                             by_sig.setdefault(about[h], []).append(p)
-                    for (sig, hot), at in by_sig.items():
-                        out += [(i, sig, hot, owner, offset, piece) for offset, piece in _pieces(text, at, least, max(4 * least, shard_chars // 4))]
+                    for sig, at in by_sig.items():
+                        out += [(i, sig, owner, offset, piece) for offset, piece in _pieces(text, at, least, max(4 * least, longest))]
             for at in range(0, len(out), 10_000):
-                yield pd.DataFrame(out[at : at + 10_000], columns=["_f", "_sig", "_hot", "_id", "_at", "_text"])
+                yield pd.DataFrame(out[at : at + 10_000], columns=["_f", "_sig", "_id", "_at", "_text"])
+
+    return suspects.mapInPandas(regions, "_f int, _sig long, _id long, _at int, _text string")
+
+
+def distinct_regions(found: DataFrame) -> DataFrame:
+    """`_f, _sig, _text, _lo, _hi, _d` of regions' distinct texts with their least and greatest owner: copies are combined
+    in each task before they are shuffled."""
+    met = found.groupBy("_f", "_sig", "_text").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    return met.withColumn("_d", _digest("_text"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def shared_spans(df: DataFrame, key: str, fields: dict[str, int], shard_chars: int = SHARD_CHARS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """`field, key, span_start, span_len` of every maximal run of shared characters of a value.
+
+    A character is shared if it lies in a stretch of at least `fields[field]` code points that occurs, code point for
+    code point, in the same field of another `key` (a 64-bit integer). Rows of one key are one record, whose anchors
+    count once however often it was delivered; if its values differ, the greatest by Spark's ordering counts. Null,
+    empty and short values have no shared characters.
+    """
+    names, leasts = list(fields), list(fields.values())
+    # Regions are needed twice, to be matched and for their places; they are a part of the shared text.
+    found = cut(regions_of(df, key, fields, shard_chars // 4))
+    distinct = distinct_regions(found)
+    large = distinct.groupBy("_f", "_sig").agg(F.sum(F.length("_text")).alias("_c")).where(F.col("_c") > group_chars).select("_f", "_sig")
+    runs = _by_automata(distinct.join(large, ["_f", "_sig"], "left_anti"), leasts, shard_chars).unionByName(_by_stretch(distinct.join(large, ["_f", "_sig"], "left_semi"), leasts))
+    places = found.select("_f", "_sig", "_id", "_at", _digest("_text").alias("_d"))
+    covers = places.join(runs, ["_f", "_sig", "_d"]).select("_f", "_id", (F.col("_at") + F.col("_s")).alias("_s"), (F.col("_at") + F.col("_e")).alias("_e"))
+    return _runs(covers, key, names)
+
+
+_RUNS = "_f int, _sig long, _d binary, _s int, _e int"
 
-    found = suspects.mapInPandas(regions, "_f int, _sig long, _hot boolean, _id long, _at int, _text string")
-    return _runs(_by_automata(found.where(~F.col("_hot")), leasts, shard_chars).unionByName(_by_count(found.where("_hot"), leasts)), key, names)
 
+def _by_automata(distinct: DataFrame, leasts: list[int], shard_chars: int) -> DataFrame:
+    """`_f, _sig, _d, _s, _e` of shared runs of region texts, by automata over the texts that meet."""
 
-def _by_automata(found: DataFrame, leasts: list[int], shard_chars: int) -> DataFrame:
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple[int, int, str]] = []
+        group: list[tuple[str, int, int]] = []
+        names: list[tuple[int, bytes]] = []
         last, size = None, 0
 
         def flush() -> pd.DataFrame:
             got = covered(group, leasts[last[0]], shard_chars)
-            return pd.DataFrame([(last[0], *x) for x in got], columns=["_f", "_id", "_s", "_e"])
+            return pd.DataFrame([(last[0], *name, *run) for name, runs in zip(names, got) for run in runs], columns=["_f", "_sig", "_d", "_s", "_e"])
 
         for pdf in batches:
-            for f, sig, owner, at, text in zip(pdf["_f"], pdf["_sig"], pdf["_id"], pdf["_at"], pdf["_text"]):
+            for f, sig, d, low, high, text in zip(pdf["_f"], pdf["_sig"], pdf["_d"], pdf["_lo"], pdf["_hi"], pdf["_text"]):
                 if last and (f != last[0] or (size > shard_chars // 2 and sig != last[1])):
                     yield flush()
-                    group, size = [], 0
+                    group, names, size = [], [], 0
                 last = (f, sig)
-                group.append((owner, at, text))
+                group.append((text, low, high))
+                names.append((sig, d))
                 size += len(text)
         if last:
             yield flush()
 
-    there = found.select("_f", "_sig", "_id", "_at", "_text").repartition("_f", "_sig").sortWithinPartitions("_f", "_sig")
-    return there.mapInPandas(match, "_f int, _id long, _s int, _e int")
+    there = distinct.repartition("_f", "_sig").sortWithinPartitions("_f", "_sig")
+    return there.select("_f", "_sig", "_d", "_lo", "_hi", "_text").mapInPandas(match, _RUNS)
 
 
-def _by_count(found: DataFrame, leasts: list[int]) -> DataFrame:
-    """Of regions around hot anchors, the stretches of the least length that more than one record holds."""
+def _by_stretch(distinct: DataFrame, leasts: list[int]) -> DataFrame:
+    """The same of texts of which too many meet: each of their stretches of the least length is a place of its own, named
+    by a 128-bit digest; a place that two owners come to is shared."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, owner, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for f, sig, d, low, high, text in zip(*(c.to_pylist() for c in batch.columns)):
                 n = leasts[f]
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                h1, h2 = gram_hashes(codes, n), gram_hashes(codes ^ np.uint32(0x5A5A5A), n)
-                start = np.arange(len(h1), dtype=np.int32) + at
-                columns = [np.full(len(h1), f, np.int32), np.full(len(h1), owner, np.int64), start, h1.view(np.int64), h2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_f", "_id", "_s", "_h1", "_h2"])
-
-    each = found.select("_f", "_id", "_at", "_text").where(F.length("_text") >= min(leasts)).mapInArrow(stretches, "_f int, _id long, _s int, _h1 long, _h2 long")
-    several = each.groupBy("_f", "_h1", "_h2").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
+                grams = [hashlib.blake2b(text[i : i + n].encode(), digest_size=16).digest() for i in range(len(text) - n + 1)]
+                m = len(grams)
+                if m:
+                    columns = [pa.array(np.full(m, f, np.int32)), pa.array(np.full(m, sig, np.int64)), pa.array([d] * m, pa.binary()), pa.array(np.arange(m, dtype=np.int32))]
+                    columns += [pa.array(np.full(m, low, np.int64)), pa.array(np.full(m, high, np.int64)), pa.array(grams, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_f", "_sig", "_d", "_s", "_lo", "_hi", "_g"])
+
+    each = distinct.select("_f", "_sig", "_d", "_lo", "_hi", "_text").mapInArrow(stretches, "_f int, _sig long, _d binary, _s int, _lo long, _hi long, _g binary")
+    several = each.groupBy("_f", "_g").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("_f", "_g")
     least = F.element_at(F.array(*[F.lit(n) for n in leasts]), F.col("_f") + 1)
-    return each.join(several.select("_f", "_h1", "_h2"), ["_f", "_h1", "_h2"]).select("_f", "_id", "_s", (F.col("_s") + least).alias("_e"))
+    return each.join(several, ["_f", "_g"]).select("_f", "_sig", "_d", "_s", (F.col("_s") + least).alias("_e"))
 
 
 def _runs(covers: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -58,8 +58,8 @@ def brute(rows, fields):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot", "shard"), [(1, 1000, 100_000), (2, 1, 100_000), (3, 1000, 60), (4, 3, 80)])
-def test_spans_are_those_of_brute_force(spark, seed, hot, shard):
+@pytest.mark.parametrize(("seed", "group", "shard"), [(1, 100_000, 100_000), (2, 1, 100_000), (3, 100_000, 60), (4, 150, 80)])
+def test_spans_are_those_of_brute_force(spark, seed, group, shard):
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("abم") for _ in range(n))
     common = [word(rng.randint(10, 60)) for _ in range(6)]
@@ -68,10 +68,37 @@ def test_spans_are_those_of_brute_force(spark, seed, hot, shard):
     rows += [(60, rows[3][1], "a" * 300), (61, rows[3][1], "a" * 100), (62, "", None), (63, "ab" * 200, "a" * 12), (None, rows[3][1], rows[3][2]), rows[7], rows[7]]
     fields = {"t": 12, "u": 20}
     df = spark.createDataFrame([(*r, "x") for r in rows], "verse_id long, t string, u string, field string")
-    got = [tuple(r) for r in spans.shared_spans(df, "verse_id", fields, shard, hot).collect()]
+    got = [tuple(r) for r in spans.shared_spans(df, "verse_id", fields, shard, group).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, fields)
 
 
+def test_records_delivered_twice_are_one(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared = [word(40) for _ in range(4)]
+    rows = [(i, word(20) + shared[i % 4] + word(20), None) for i in range(20)]
+    df = lambda rows: spark.createDataFrame(rows, "verse_id long, t string, u string")
+    once = {tuple(r) for r in spans.shared_spans(df(rows), "verse_id", {"t": 12}).collect()}
+    twice = {tuple(r) for r in spans.shared_spans(df(rows + rows), "verse_id", {"t": 12}).collect()}
+    assert once == twice == brute(rows, {"t": 12})
+    # Anchors of different holders must not come together in one signature.
+    found = spans.regions_of(df(rows + rows), "verse_id", {"t": 12})
+    assert found.where("_sig = 0").count() == 0 and found.select("_sig").distinct().count() >= 4
+
+
+def test_copies_meet_as_one_row(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    rows = [(i, text) for i in range(1000)] + [(1000, text[100:400])]
+    df = spark.createDataFrame(rows, "verse_id long, t string").repartition(4)
+    got = {(r.verse_id, r.span_start, r.span_len) for r in spans.shared_spans(df, "verse_id", {"t": 60}).collect()}
+    assert got == {(i, 0, 5000) for i in range(1000)} | {(1000, 0, 300)}
+    found = spans.regions_of(df, "verse_id", {"t": 60})
+    assert found.count() > 1000
+    largest = max(r.n for r in spans.distinct_regions(found).selectExpr("_f", "_sig", "length(_text) AS c").groupBy("_f", "_sig").agg({"c": "sum"}).toDF("f", "s", "n").collect())
+    assert largest < 10_000
+
+
 def test_own_repeats_are_not_shared(spark):
     df = spark.createDataFrame([(1, "abcdefghij" * 5, None), (2, "x", None), (3, None, None)], "verse_id long, t string, u string")
     assert spans.shared_spans(df, "verse_id", {"t": 10, "u": 10}).count() == 0
