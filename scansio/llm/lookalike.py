@@ -1,12 +1,14 @@
 """One form for texts that read the same but are stored in different characters.
 
 Values are mapped first: width and positional forms to their letters, kinds of space to a space, invisible characters to
-nothing, look-alike letters to the letter whose place they take, then canonical composition with marks in canonical
-order. The mapped forms are grouped in SQL under the accent-sensitive Unicode collation, each class gets a deterministic
-member as its canonical form, and that is joined back to every record.
-
-The collation gives no weight to pause marks and a few other characters that do change the reading, so an exact check
-follows within each class: forms that differ in a character that is left after mapping stay apart.
+nothing, look-alike letters to the letter whose place they take, marks in canonical order. The mapped forms are grouped
+in SQL under the accent-sensitive Unicode collation, which decides what is the same letter with the same accents:
+composed or split, and whatever else it holds to be equal. Each class gets its least member as canonical form, and that
+is joined back to every record.
+
+The collation gives no weight to pause marks and some other characters that do change the reading. Which ones they are
+is asked of the collation itself (`weightless`); a value's sequence of them, each with its place among the letters,
+stands beside the collation in the grouping. It holds nothing that the collation weighs.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters that look alike, each with the letter it stands for in Latin text (Cyrillic, then Greek).
 LATIN_LOOKALIKES = {
@@ -34,6 +35,10 @@ AT_END = {"ی": "ى", "ە": "ه"}
 SEEN_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢"
 # Other characters that leave no trace of their own (joiner, variation selectors' first and last).
 UNSEEN = {0x034F, *range(0x180B, 0x180F), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+#: The collation under which mapped forms are grouped: accents and case count.
+COLLATION = "UNICODE"
+#: Records of one side of a class that are paired in one task.
+PAIR_ROWS = 2000
 #: Kinds of compatibility forms that are one letter's shapes or widths.
 FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -85,20 +90,78 @@ def _latin_words(text: str) -> str:
 
 
 def mapped(text: str | None) -> str | None:
-    """The look-alike-mapped form of a text; null stays null."""
+    """The look-alike-mapped form of a text, composed or split as it was as long as its marks stand in canonical order;
+    null stays null."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFC", text.translate(character_map()))
-    if _foreign.search(text):
-        text = unicodedata.normalize("NFC", _latin_words(text))
-    if _placed.search(text):
-        text = _placed.sub(_placed_letter, text)
+    text = text.translate(character_map())
+    split = unicodedata.is_normalized("NFD", text)
+    if not split:
+        text = unicodedata.normalize("NFC", text)
+    if _foreign.search(text) or _placed.search(text):
+        whole = unicodedata.normalize("NFC", text)
+        if _foreign.search(whole):
+            whole = unicodedata.normalize("NFC", _latin_words(whole))
+        text = _placed.sub(_placed_letter, whole)
+        if split:
+            text = unicodedata.normalize("NFD", text)
     return _spaces.sub(" ", text).strip()
 
 
-@F.pandas_udf(T.StringType())
-def mapped_column(values: pd.Series) -> pd.Series:
-    return values.map(mapped, na_action="ignore")
+_weightless: dict[str, tuple[str, str]] = {}
+
+
+def weightless(spark: SparkSession) -> tuple[str, str]:
+    """The characters to which the collation gives no weight: those that are seen, and those that aren't."""
+    app = spark.sparkContext.applicationId
+    if app not in _weightless:
+        every = "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"
+        found = spark.sql(f"SELECT id FROM range({sys.maxunicode + 1}) WHERE collate(concat('a', {every}), '{COLLATION}') = collate('a', '{COLLATION}')")
+        chars = [chr(r.id) for r in found.orderBy("id").collect()]  # a thousand characters, whatever the data
+        seen = [c for c in chars if ord(c) not in UNSEEN and (unicodedata.category(c) not in ("Cf", "Cc", "Cn") or c in SEEN_FORMAT)]
+        _weightless[app] = "".join(seen), "".join(c for c in chars if c not in seen)
+    return _weightless[app]
+
+
+class Marks:
+    """The sequence of seen characters without weight in a text, each with the number of letters and signs before it."""
+
+    def __init__(self, seen: str, unseen: str):
+        own = lambda chars: "".join(map(re.escape, chars))
+        weighed = "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.combining(c) and c not in seen)
+        self.any = re.compile(f"[{own(seen)}]")
+        self.parts = re.compile(f"([{own(seen)}])")
+        self.passed = re.compile(f"[{own(unseen)}{own(weighed)}]+")
+
+    def __call__(self, text: str) -> str:
+        if not self.any.search(text):
+            return ""
+        pieces = self.parts.split(unicodedata.normalize("NFD", text))
+        out, at = [], 0
+        for i in range(0, len(pieces) - 1, 2):
+            at += len(self.passed.sub("", pieces[i]))
+            out.append(f"{at}{pieces[i + 1]}")
+        return "".join(out)
+
+
+_marks: dict[tuple[str, str], Marks] = {}
+
+
+def _marks_of(chars: tuple[str, str]) -> Marks:
+    if chars not in _marks:
+        _marks[chars] = Marks(*chars)
+    return _marks[chars]
+
+
+def mapped_column(chars: tuple[str, str]):
+    """A column function to `mapped` and `marks` of a text."""
+
+    @F.pandas_udf("mapped string, marks string")
+    def of(values: pd.Series) -> pd.DataFrame:
+        marks, forms = _marks_of(chars), [mapped(v) for v in values]
+        return pd.DataFrame({"mapped": forms, "marks": [None if f is None else marks(f) for f in forms]})
+
+    return of
 
 
 def _key(text: Column) -> Column:
@@ -106,10 +169,11 @@ def _key(text: Column) -> Column:
 
 
 def field_values(df: DataFrame, key: str, *fields: str) -> DataFrame:
-    """`field, key, stored, mapped` of every value that is not null and not empty (redelivered rows included)."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored"), F.col(f"_m{i}").alias("mapped")) for i, f in enumerate(fields)])
-    read = df.where(F.col(key).isNotNull()).select(key, *fields, *[mapped_column(f).alias(f"_m{i}") for i, f in enumerate(fields)])
-    return read.select(F.col(key), F.explode(each).alias("v")).select("v.field", key, "v.stored", "v.mapped").where(F.col("stored") != "")
+    """`field, key, stored, mapped, marks` of every value that is not null and not empty (redelivered rows included)."""
+    of = mapped_column(weightless(df.sparkSession))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored"), F.col(f"_m{i}").alias("m")) for i, f in enumerate(fields)])
+    read = df.where(F.col(key).isNotNull()).select(key, *fields, *[of(f).alias(f"_m{i}") for i, f in enumerate(fields)])
+    return read.select(F.col(key), F.explode(each).alias("v")).where(F.col("v.stored") != "").select("v.field", key, "v.stored", "v.m.mapped", "v.m.marks")
 
 
 def classes(values: DataFrame) -> DataFrame:
@@ -119,12 +183,11 @@ def classes(values: DataFrame) -> DataFrame:
     its least form by code points.
     """
     return values.sparkSession.sql(
-        """
-        SELECT field, unhex(sha2(mapped, 256)) AS form,
-               min(mapped) OVER (PARTITION BY field, collate(mapped, 'UNICODE'), unhex(sha2(mapped, 256))) AS canonical
-        FROM (SELECT DISTINCT field, mapped FROM {values})
+        f"""
+        SELECT field, unhex(sha2(mapped, 256)) AS form, min(mapped) OVER (PARTITION BY field, marks, collate(mapped, '{COLLATION}')) AS canonical
+        FROM (SELECT DISTINCT field, mapped, marks FROM {{values}})
         """,
-        values=values.select("field", "mapped"),
+        values=values.select("field", "mapped", "marks"),
     )
 
 
@@ -140,26 +203,44 @@ def canonical(df: DataFrame, key: str, *fields: str) -> DataFrame:
     return joined
 
 
-def same_reading_pairs(df: DataFrame, key: str, *fields: str) -> DataFrame:
-    """`field, a, b` (a < b): pairs of records whose values of a field have one canonical form but differ in code points.
-
-    Only hashes of values are shuffled with the records. Classes of which all records hold the same code points are left
-    out before records are paired; a class's pairs are joined by the class, its distinct stored values on either side.
-    """
+def _read_alike(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """`field, form, key, s1, s2, reading, canonical, size` of the records of classes whose stored values aren't all the same
+    code points: hashes of what is stored, the class, and how many records it has."""
     values = field_values(df, key, *fields)
     rows = values.select("field", key, _key(F.col("mapped")).alias("form"), F.xxhash64("stored").alias("s1"), F.xxhash64(F.lit("scansio"), F.col("stored")).alias("s2"))
     rows = rows.groupBy("field", key).agg(F.max(F.struct("form", "s1", "s2")).alias("r")).select("field", key, "r.*")
     rows = rows.where(F.col("form") != _key(F.lit("")))  # after the grouping, or the filter would map the values once more
-    mixed = rows.groupBy("field", "form").agg(F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2"))
+    mixed = rows.groupBy("field", "form").agg(F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2"), F.count(F.lit(1)).alias("n"))
     # Exact copies of one value are no case, and most forms have one value only.
-    reading = classes(values).select("field", "form", _key(F.col("canonical")).alias("reading"))
-    held = mixed.join(reading, ["field", "form"])
+    held = mixed.join(classes(values).select("field", "form", "canonical"), ["field", "form"]).withColumn("reading", _key(F.col("canonical")))
     # A window instead of a grouping keeps the forms, so classes and their sort under the collation are needed once.
     of = Window.partitionBy("field", "reading")
     several = (F.min("a1").over(of) != F.max("b1").over(of)) | (F.min("a2").over(of) != F.max("b2").over(of))
-    forms = held.withColumn("_several", several).where("_several").select("field", "form", "reading")
-    members = rows.join(forms, ["field", "form"]).select("field", "reading", key, "s1", "s2")
-    a, b = members.alias("a"), members.alias("b")
-    on = (F.col("a.field") == F.col("b.field")) & (F.col("a.reading") == F.col("b.reading")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    forms = held.withColumn("_several", several).withColumn("size", F.sum("n").over(of)).where("_several")
+    return rows.join(forms.select("field", "form", "reading", "canonical", "size"), ["field", "form"])
+
+
+def same_reading_pairs(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """`field, a, b` (a < b): pairs of records whose values of a field have one canonical form but differ in code points.
+
+    Only hashes of values are shuffled with the records. Classes of which all records hold the same code points are left
+    out before records are paired. The pairs are what is asked for; those of a class of many records are the work of many
+    tasks: its one side is spread by hash, the other goes to each of the parts.
+    """
+    parts = F.ceil(F.col("size") / F.lit(PAIR_ROWS)).cast("int")
+    members = _read_alike(df, key, *fields).select("field", "reading", key, "s1", "s2", parts.alias("parts"))
+    a = members.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).alias("a")
+    b = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = F.lit(True)
+    for name in ("field", "reading", "part"):
+        same = same & (F.col(f"a.{name}") == F.col(f"b.{name}"))
     differ = (F.col("a.s1") != F.col("b.s1")) | (F.col("a.s2") != F.col("b.s2"))
-    return a.join(b, on & differ).select(F.col("a.field").alias("field"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")) & differ).select(F.col("a.field").alias("field"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+
+
+def reading_classes(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """`field, canonical, records, spellings, links` of every class of values that read the same in different code points:
+    `links` is the number of its pairs, without any pair being made."""
+    spelled = _read_alike(df, key, *fields).groupBy("field", "reading", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.first("canonical").alias("c"))
+    counted = spelled.groupBy("field", "reading").agg(F.first("c").alias("canonical"), F.sum("n").alias("records"), F.count(F.lit(1)).alias("spellings"), F.sum(F.col("n") * F.col("n")).alias("_own"))
+    return counted.select("field", "canonical", "records", "spellings", ((F.col("records") * F.col("records") - F.col("_own")) / 2).cast("long").alias("links"))

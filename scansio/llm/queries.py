@@ -58,6 +58,7 @@ QUERIES = {
     "p1_shared": lambda s, d: spans.shared_totals(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p4_canonical": lambda s, d: lookalike.canonical(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
     "p4_found": p4_found,
+    "p4_classes": lambda s, d: lookalike.reading_classes(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
     "p5_terms": lambda s, d: terms.verse_word_frequencies(load(s, d, "verses")),
     "p5_values": lambda s, d: terms.verse_value_frequencies(load(s, d, "verses")),
     "p5_found": p5_found,

@@ -10,29 +10,61 @@ SAME = [("ａb", "ab"), ("ā", "ā"), ("a b", "a b"), ("­ab​", "ab"), (" ab "
 DIFFERENT = [("ab", "aB"), ("a", "ā"), ("بَ", "بِ"), ("مِنۖ", "مِن"), ("مِنۖ", "مِنۗ"), ("ا", "ٱ"), ("علی", "علي"), ("ab", "a b"), ("من", "مـن"), ("۝", ""), ("сорока", "copoka")]
 
 
-def test_readings():
-    for a, b in SAME:
-        assert lk.mapped(a) == lk.mapped(b), (a, b)
-    for a, b in DIFFERENT:
-        assert lk.mapped(a) != lk.mapped(b), (a, b)
-    for a, b in SAME + DIFFERENT:
+def readings(spark, values):
+    """The class of each value, by the least place of a value of it."""
+    df = spark.createDataFrame(list(enumerate(values)), "verse_id long, t string")
+    form = {r.verse_id: r.canonical for r in lk.canonical(df, "verse_id", "t").collect()}
+    return [form[i] for i in range(len(values))]
+
+
+def test_readings(spark):
+    got = readings(spark, [x for pair in SAME + DIFFERENT for x in pair])
+    pairs = list(zip(got[::2], got[1::2]))
+    for (a, b), (x, y), same in zip(SAME + DIFFERENT, pairs, [True] * len(SAME) + [False] * len(DIFFERENT)):
+        assert (x == y) is same, (a, b)
         assert lk.mapped(lk.mapped(a)) == lk.mapped(a) and lk.mapped(lk.mapped(b)) == lk.mapped(b)
     assert lk.mapped(None) is None and lk.mapped("") == ""
 
 
+def test_the_collation_decides(spark):
+    """Composed and split accents and controls are left to it: the mapped forms differ, the class is one."""
+    for a, b in (("\u0101b", "a\u0304b"), ("\uac00", "\u1100\u1161"), ("a\x01b", "ab"), ("\u0623", "\u0627\u0654")):
+        assert lk.mapped(a) != lk.mapped(b)
+        x, y = readings(spark, [a, b])
+        assert x == y == min(lk.mapped(a), lk.mapped(b))
+
+
+def test_marks_without_weight_keep_their_place(spark):
+    """A pause mark after another word is another reading, though the collation doesn't see it."""
+    x, y, z = readings(spark, ["\u0645\u0646\u06d6 \u0628", "\u0645\u0646 \u0628\u06d6", "\u0645\u0646 \u0628"])
+    assert len({x, y, z}) == 3
+    marks = lk.Marks(*lk.weightless(spark))
+    assert marks("\u0645\u0646\u06d6 \u0628\u06d6") == "2\u06d64\u06d6" and marks("abc") == ""
+    assert "\u06d6" in lk.weightless(spark)[0] and "\u064e" not in lk.weightless(spark)[0]
+
+
 def test_pairs_and_forms(spark):
-    values = [a for pair in SAME + DIFFERENT for a in pair] + ["", None, "​", " "]
+    values = [a for pair in SAME + DIFFERENT for a in pair] + ["", None, "\u200b", " "]
     rows = [(i, v, "x", "y") for i, v in enumerate(values)]
     df = spark.createDataFrame(rows + rows[:5] + [(None, "ab", "x", "y")], "verse_id long, t string, field string, form string")
     got = {(r.a, r.b) for r in lk.same_reading_pairs(df, "verse_id", "t").collect()}
-    key = {i: lk.mapped(v) for i, v in enumerate(values) if v}
+    form = {r.verse_id: r.canonical for r in lk.canonical(df, "verse_id", "t").collect()}
+    key = {i: form[i] for i, v in enumerate(values) if v}
     want = {(i, j) for i, j in combinations(key, 2) if key[i] == key[j] != "" and values[i] != values[j]}
     assert got == want and want
-    form = {r.verse_id: r.canonical for r in lk.canonical(df, "verse_id", "t").collect()}
     assert len(form) == len(values) and form[values.index(None)] is None
-    assert all((form[i] == form[j]) == (key[i] == key[j]) for i, j in combinations(key, 2))
+    links = lk.reading_classes(df, "verse_id", "t").collect()
+    assert sum(r.links for r in links) == len(want) and all(r.spellings > 1 for r in links)
     empty = df.limit(0)
-    assert lk.same_reading_pairs(empty, "verse_id", "t").count() == lk.canonical(empty, "verse_id", "t").count() == 0
+    assert lk.same_reading_pairs(empty, "verse_id", "t").count() == lk.canonical(empty, "verse_id", "t").count() == lk.reading_classes(empty, "verse_id", "t").count() == 0
+
+
+def test_pairs_of_a_large_class_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lk, "PAIR_ROWS", 7)
+    df = spark.createDataFrame([(i, "a\u200bb" if i % 3 else "ab") for i in range(40)], "verse_id long, t string")
+    got = [(r.a, r.b) for r in lk.same_reading_pairs(df, "verse_id", "t").collect()]
+    want = {(i, j) for i, j in combinations(range(40), 2) if bool(i % 3) != bool(j % 3)}
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def brute(rows, fields):
