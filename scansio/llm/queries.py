@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+
+from pyspark.sql import functions as F
+
 from scansio.llm import abuse, lookalike, packing, personal, spans, terms, tokens
 from scansio.session import load
 
@@ -39,8 +43,34 @@ def p4_found(spark, sf_dir):
     return pairs.withColumnsRenamed({"a": "verse_id_a", "b": "verse_id_b"})
 
 
+def _secret(spark) -> bytes:
+    """The key of surrogates that the session names, or one that nobody knows and that is gone after the query."""
+    named = spark.conf.get("spark.scansio.surrogates.key", "")
+    return named.encode() or secrets.token_bytes(32)
+
+
+def _items(spark, sf_dir):
+    return personal.entities(load(spark, sf_dir, "reports"), "report_id", "notes", "user_agent", secret=_secret(spark))
+
+
 def p2_found(spark, sf_dir):
-    return personal.replacements(load(spark, sf_dir, "reports"), "report_id", "notes", "user_agent").select("report_id", "field", "kind", "start_pos")
+    """Items that have got a surrogate."""
+    return _items(spark, sf_dir).where("surrogate IS NOT NULL").select("report_id", "field", "kind", "start_pos")
+
+
+def p2_redacted(spark, sf_dir):
+    return personal.redacted(load(spark, sf_dir, "reports"), "report_id", "notes", "user_agent", secret=_secret(spark))
+
+
+def p2_texts(spark, sf_dir):
+    """How many texts of either field came out, and how many of them null."""
+    return p2_redacted(spark, sf_dir).groupBy("field").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("placeholders").isNull()).alias("missing"))
+
+
+def p4_values(spark, sf_dir):
+    """How many values of either field came out, and how many of them null or empty."""
+    values = lookalike.canonical(load(spark, sf_dir, "verses"), "verse_id", "text_norm", "text_uthmani")
+    return values.groupBy("field").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce("stored", F.lit("")) == "").alias("blank"))
 
 
 def p8_scores(spark, sf_dir):
@@ -52,12 +82,16 @@ QUERIES = {
     "p8_scores": p8_scores,
     "p8_rates": lambda s, d: abuse.rates(p8_scores(s, d)),
     "p8_found": lambda s, d: p8_scores(s, d).where("flagged").select("doc_id"),
-    "p2_redacted": lambda s, d: personal.redacted(load(s, d, "reports"), "report_id", "notes", "user_agent"),
+    "p8_documents": lambda s, d: abuse.rates(p8_scores(s, d)).select("source", "documents"),
+    "p2_redacted": p2_redacted,
+    "p2_distinct": lambda s, d: personal.distinctness(_items(s, d)),
+    "p2_texts": p2_texts,
     "p2_found": p2_found,
     "p1_found": lambda s, d: spans.shared_spans(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p1_shared": lambda s, d: spans.shared_totals(load(s, d, "verses"), "verse_id", spans.FIELDS),
     "p4_canonical": lambda s, d: lookalike.canonical(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
     "p4_found": p4_found,
+    "p4_values": p4_values,
     "p4_classes": lambda s, d: lookalike.reading_classes(load(s, d, "verses"), "verse_id", "text_norm", "text_uthmani"),
     "p5_terms": lambda s, d: terms.verse_word_frequencies(load(s, d, "verses")),
     "p5_values": lambda s, d: terms.verse_value_frequencies(load(s, d, "verses")),
@@ -66,7 +100,15 @@ QUERIES = {
     "p7_packing": lambda s, d: packing.pack_documents(load(s, d, "documents")),
 }
 
+def _counted(table: str, key: str, count: str, test: str, *fields: str) -> str:
+    one = f"(SELECT DISTINCT ON ({key}) * FROM {table} WHERE {key} IS NOT NULL ORDER BY {key})"
+    return " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS {count}, count(*) FILTER ({test.format(f)} IS NOT FALSE) AS {'missing' if count == 'texts' else 'blank'} FROM {one}" for f in fields)
+
+
 SQL = {
+    "p2_texts": _counted("reports", "report_id", "texts", "{} IS NULL", "notes", "user_agent"),
+    "p4_values": _counted("verses", "verse_id", "records", "coalesce({}, '') = ''", "text_norm", "text_uthmani"),
+    "p8_documents": "SELECT source, count(*) AS documents FROM documents GROUP BY source",
     "p1_found": _SPANS,
     "p1_shared": _TOTALS,
     "p5_terms": _frequencies(_TERMS),
