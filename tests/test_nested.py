@@ -89,3 +89,48 @@ def test_stores_join_back_to_their_records(spark, sf):
     assert n == q["p3_events"].count() > 0
     linked = sum(q[f"p3_{k}_roots"].select(F.col("child_id").alias("parent_id")).join(q[f"p3_{k}_bridge"].where("child_id IS NOT NULL"), "parent_id").count() for k in ("event", "layout"))
     assert linked == q["p3_found"].count() > 0
+
+
+def test_layers_of_any_number_are_taken_off(spark):
+    x = {"candidates": [{"surah": 1, "ayah": 2}]}
+    texts = [json.dumps(x)]
+    for _ in range(7):
+        texts.append(json.dumps(texts[-1]))
+    deep, mixed = x, json.dumps(x)
+    for i in range(12):
+        deep = {"v": i, ("payload" if i % 2 else "Payload"): deep}
+    for _ in range(4):
+        mixed = json.dumps({"payload": mixed})
+    got = found(diag(spark, *texts, json.dumps(deep), mixed))
+    assert got == [("candidate", 1, i, 0, "1:2") for i in range(10)]
+
+
+def test_names_in_any_case(spark):
+    got = found(diag(spark, '{"cAndidates":[{"sURAH":1,"AyaH":2},{"REF":{"Surah":3,"aYah":4}},{"rEf":"5:6"}]}'))
+    assert [r[-1] for r in got] == ["1:2", "3:4", "5:6"]
+
+
+def test_what_a_child_holds_stands_in_the_child_only(spark):
+    data = '{"candidates":[{"surah":1,"ayah":2,"score":0.125}],"transcript":"said","device":{"model":"m7","os":{"v":3}},"n":[1]}'
+    objects = {r.kind: r.content for r in nested.event_store(diag(spark, data)).objects.collect()}
+    assert set(objects) == {"event", "candidate", "part"}
+    assert "0.125" not in objects["event"] and "m7" not in objects["event"] and "said" in objects["event"]
+    assert "0.125" in objects["candidate"] and "m7" in objects["part"] and '"device"' in objects["part"]
+    a, b = (nested.event_store(diag(spark, data.replace("0.125", x))).roots.collect()[0].child_id for x in ("0.125", "0.25"))
+    assert a != b  # the parent is known by its children's identities
+
+
+def test_deliveries_that_differ_are_one_record(spark):
+    line = lambda w: (1, "text", None, None, None, None, [(f"1:1:{i}", w, None) for i in range(3)])
+    rows = [(1, "e", 1, [line("a"), line("b")], "x"), (1, "e", 1, [line("c")], "x"), (1, "e", 1, [line("c")], "x")]
+    store = nested.layout_store(spark.createDataFrame(rows, PAGE))
+    n = nested.occurrences(store).count()
+    assert n in (3, 6) and store.roots.count() == n // 3
+    assert store.objects.where("kind = 'word'").agg(F.sum("occurrences")).first()[0] == n
+
+
+def test_a_common_node_has_its_places(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'e' AS edition", "1 AS page", "array(named_struct('line',1,'line_type','t','text',null,'surah',null,'verse_range',null,'qpc_v1',null,'words',array(named_struct('location','1:1:1','word','w','qpc_v1',null)))) AS lines", "'x' AS label")
+    pages = spark.createDataFrame(pages.rdd, PAGE)
+    store = nested.layout_store(pages)
+    assert nested.occurrences(store).count() == 3000 and store.linked.count() == 1
