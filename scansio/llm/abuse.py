@@ -1,13 +1,14 @@
 """Abusive, hateful or sexual content by compression distance.
 
-Two zstandard dictionaries are made of windows of reviewed documents: one of ordinary text, one of the same with abusive
-text after it. A window of a document is compressed with either; what the abusive text saves, a byte of the window, is
-its score, and a document's score is that of its worst window. Whoever writes as abusive documents do is shorter with
-the abusive text at hand; ordinary sentences are as short without it, and new words, names and verses are long either way.
+Two separate zstandard dictionaries are made of windows of reviewed documents: one of ordinary text, one of abusive text.
+A window of a document is compressed with either; what the abusive dictionary saves over the ordinary one, a byte of the
+window, is its score, and a document's score is that of its worst window. Ordinary sentences are shorter with the
+ordinary dictionary; new words, names and verses are long with either; what writes as abusive documents do is shorter
+with the abusive one. The threshold is calibrated on documents that the dictionaries of the other folds haven't seen.
 
 Windows are read as a reader would: look-alike letters, signs and spaces within words, digits for letters and stretched
 letters are undone. Quoted text isn't the writer's own and is masked. Training looks at no more than `max_docs` reviewed
-documents a class, picked by hash; scoring reads every window of every document.
+documents a class, picked by hash; scoring reads every window of every document. All rules are the same at every size.
 """
 
 from __future__ import annotations
@@ -25,64 +26,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scansio.llm.lookalike import mapped
+from scansio.functions.text import UNITED, VARIANTS
+from scansio.llm.lookalike import alike
 
 #: Verdicts of reviewers that say a document is a case, and that it is none; others say nothing.
 CASES, FINE = ("abuse", "hate", "sexual"), ("ok",)
 #: Bounds of the sample that the dictionaries are made of: documents a class, and code points of one.
 MAX_DOCS, MAX_CHARS = 6000, 20_000
-#: Threshold where the sample holds nothing to set it by.
+#: Most bytes of a dictionary: content beyond is trained down to this. Both are sent to every executor.
+ORDINARY_BYTES, ABUSIVE_BYTES = 4_000_000, 500_000
+#: Threshold where the sample holds no case to set it by.
 DEFAULT_THRESHOLD = 0.2
 #: Savings below which no window is flagged: lengths are whole bytes.
 LEAST_THRESHOLD = 0.1
-#: Letters that make a window worth judging; code points from which a window is also read in parts, and of a part.
-LEAST_LETTERS, LONG, PART = 8, 140, 90
+#: Letters of a window at least; code points from which a window is read in parts, and of a part.
+LEAST_LETTERS, LONG, PART = 8, 50, 40
 #: Bytes beyond which a window's savings are not spread any thinner.
 SHORT = 64
-LEVEL = 19
+LEVEL = 15
+FOLDS = 3
+#: Share of a window's bytes from which text doesn't explain it, by which other text explains it far better, and from
+#: which abusive text hardly explains it.
+UNEXPLAINED, FAR_BETTER, CLEARLY = 0.4, 0.25, 0.8
+#: Words tell cases if at most this share of words like them would by chance.
+BY_CHANCE = 0.2
 
-_quoted = re.compile(r"“[^“”\r\n]{1,400}”|«[^«»\r\n]{1,400}»|„[^„“”\r\n]{1,400}[“”]|\"[^\"\r\n]{1,400}\"")
+_quoted = re.compile(r"“[^“”\r\n]+”|«[^«»\r\n]+»|„[^„“”\r\n]+[“”]|\"[^\"\r\n]+\"")
 _sentence = re.compile(r"(?<=[.!?؟;])\s+|[\r\n]+|\s{2,}")
 _spaced = re.compile(r"(?<!\w)(?:[^\W\d_] ){2,}[^\W\d_](?!\w)")
-_mixed = re.compile(r"(?=\w*[^\W\d_])(?=\w*\d)[\w@$]+")
+_mixed = re.compile(r"(?<![\w@$])[^\W\d]*[\d@$][\w@$]*")
 _inside = re.compile(r"(?<=[^\W\d_])[.·•_\-*]+(?=[^\W\d_])")
 _stretched = re.compile(r"([^\W\d_])\1+")
 _number = re.compile(r"\d+")
 _word = re.compile(r"[^\W\d_]{2,}")
+_variant = re.compile(f"[{VARIANTS}ـ]")
+_accents = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c)) + "]+")
 # Signs that stand for letters within words, and the letters.
 SIGNS, SIGNED = "0134578@$", "oieastbas"
-# Arabic letters written in several ways, the one that is kept, and what only stretches a word.
-WRITTEN, KEPT, LEFT_OUT = "أإآٱىة", "ااااي\u0647", "ـ"
 _signs = str.maketrans(SIGNS, SIGNED)
-_arabic = str.maketrans(WRITTEN, KEPT, LEFT_OUT)
+_arabic = str.maketrans(VARIANTS, UNITED, "ـ")
 
 
 def plain(text: str) -> str:
-    """A window as a reader would read it."""
-    text = mapped(text).lower()
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).translate(_arabic)
+    """A text as a reader would read it, line ends as they are."""
+    text = text.lower()
+    if not text.isascii():
+        text = _accents.sub("", unicodedata.normalize("NFD", alike(text).lower()))
+        if _variant.search(text):
+            text = text.translate(_arabic)
     text = _spaced.sub(lambda m: m.group().replace(" ", ""), text)
-    text = _mixed.sub(lambda m: m.group().translate(_signs), text)
+    text = _mixed.sub(lambda m: t.translate(_signs) if any(map(str.isalpha, t := m.group())) else t, text)
     return _stretched.sub(r"\1", _inside.sub("", _number.sub("0", text)))
 
 
 def windows(text: str | None) -> list[str]:
-    """The distinct windows of a text: its sentences and lines, and the overlapping parts of long ones."""
+    """The distinct windows of a text: its sentences and lines, and the overlapping parts of long ones. What has but a few
+    letters is read together with what follows, at the end with what stands before; a text of nothing else is a window."""
     out: dict[str, None] = {}
-    for sentence in _sentence.split(_quoted.sub("“”", text or "")):
-        w = plain(sentence)
-        parts = [w] if len(w) <= LONG else [w[i : i + PART] for i in range(0, len(w) - PART // 2, PART // 2)]
-        for p in parts:
-            if sum(c.isalpha() for c in p) >= LEAST_LETTERS:
-                out[p] = None
+    whole: list[str] = []
+    begun = ""
+    for sentence in _sentence.split(plain(_quoted.sub("“”", text or ""))):
+        begun = f"{begun} {' '.join(sentence.split())}".strip()
+        if sum(map(str.isalpha, begun)) >= LEAST_LETTERS:
+            whole.append(begun)
+            begun = ""
+    if begun and whole:
+        whole[-1] += " " + begun
+    elif any(map(str.isalpha, begun)):
+        whole.append(begun)
+    for w in whole:
+        for p in [w] if len(w) <= LONG else [w[i : i + PART] for i in range(0, len(w) - PART // 2, PART // 2)]:
+            out[p] = None
     return list(out)
 
 
+def dictionary(texts: Iterable[str], most: int) -> bytes:
+    """Content of a dictionary of at most about `most` bytes: the texts, or what zstandard's training keeps of them."""
+    texts = list(texts)
+    content = "\n".join(texts).encode()
+    return content if len(content) <= most else zstandard.train_dictionary(most, [t.encode() for t in texts], level=LEVEL).as_bytes()
+
+
 class Measure:
     """Compressed length of windows with a dictionary."""
 
     def __init__(self, content: bytes):
-        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+        made = zstandard.ZstdCompressionDict(content) if len(content) >= 8 else None  # trained, or else raw content
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compress = zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
 
@@ -90,10 +119,6 @@ class Measure:
         return len(self.compress(window.encode()))
 
 
-def _content(texts: Iterable[str]) -> bytes:
-    return "\n".join(texts).encode()
-
-
 def _share(window: str, length: float) -> float:
     return length / (len(window.encode()) + 8)
 
@@ -113,55 +138,65 @@ class Model:
         got = self._known.get(w)
         if got is None:
             if self._measures is None:
-                self._measures = Measure(self.ordinary), Measure(self.ordinary + b"\n" + self.abusive)
+                self._measures = Measure(self.ordinary), Measure(self.abusive)
             if len(self._known) > 200_000:
                 self._known.clear()
             a, b = self._measures
             got = self._known[w] = (a(w) - b(w)) / (min(len(w.encode()), SHORT) + 8)
         return got
 
+    def worst(self, some: list[str]) -> float:
+        return max([0.0, *map(self.window, some)]) if self.abusive else 0.0
+
     def score(self, text: str | None) -> float:
         """0 for texts without windows, such as null and empty ones."""
-        return max([0.0, *map(self.window, windows(text))]) if self.abusive else 0.0
+        return self.worst(windows(text))
 
 
-FOLDS = 3
+def telling(cases: list[list[str]], fine: list[list[str]]) -> set[str]:
+    """Words that more cases than fine documents hold, and that so many cases hold as words by chance would not: of words
+    with as many documents, so many would stand in cases only by their share of all documents."""
+    in_cases, in_fine = (Counter(x for d in docs for x in {x for w in d for x in _word.findall(w)}) for docs in (cases, fine))
+    share = len(cases) / max(1, len(cases) + len(fine))
+    held = Counter(in_cases[x] + in_fine[x] for x in {*in_cases, *in_fine})
+    alone = Counter(n for x, n in in_cases.items() if not in_fine[x])
+    enough = min((n for n in alone if n > 1 and held[n] * share**n <= BY_CHANCE * alone[n]), default=None)
+
+    def tells(x: str, n: int) -> bool:
+        expected = (n + in_fine[x]) * share
+        return n >= enough and n > in_fine[x] and (not in_fine[x] or n > expected + 2 * expected**0.5)
+
+    return set() if enough is None else {x for x, n in in_cases.items() if tells(x, n)}
 
 
 def _trained(fine: list[list[str]], cases: list[list[str]]) -> tuple[bytes, bytes]:
-    """Dictionary contents of the windows of documents judged fine and of cases.
+    """The ordinary and the abusive dictionary, of the windows of documents judged fine and of cases.
 
-    Reviewers err, and most windows of a case are ordinary. A window is abusive if ordinary text doesn't explain it, and
-    several cases and hardly any fine document hold it; or if no fine document holds it, and the abusive windows of
-    other cases explain it better. In any case it has a word that several cases and fewer fine documents hold: rare
-    verses that happen to stand in cases only have none. Ordinary text is what fine documents hold, without what abusive windows explain far better than the fine
-    documents of the other folds: that are cases which a reviewer passed.
+    Reviewers err, and most windows of a case are ordinary. A window is abusive if ordinary text doesn't explain it, it has
+    a telling word, and no fine document holds it or several cases and hardly any fine document do; rare verses that
+    happen to stand in cases have no telling word. Ordinary text is what fine documents hold, without what abusive
+    windows explain far better than the fine documents of the other folds: that are cases which a reviewer passed.
     """
     held, passed = Counter(w for d in cases for w in d), Counter(w for d in fine for w in d)
     known = {w for w, n in held.items() if n >= 2 and n > 3 * passed[w]}
     folds = [list(dict.fromkeys(w for d in fine[k::FOLDS] for w in d if w not in known)) for k in range(FOLDS)]
-    ordinary = [Measure(_content(f)) for f in folds]
-    unexplained = lambda w: _share(w, median(m(w) for m in ordinary)) > 0.4
-    in_cases, in_fine = (Counter(x for d in docs for x in {x for w in d for x in _word.findall(w)}) for docs in (cases, fine))
-    several = min(3, 2 + len(cases) // 60)  # of more documents, more rare words meet twice by chance
-    telling = {x for x, n in in_cases.items() if n >= several and n > in_fine[x]}
-    spoken = lambda w: any(x in telling for x in _word.findall(w))
-    fold_of: dict[str, int] = {}
-    for i, d in enumerate(cases):
-        for w in d:
-            fold_of.setdefault(w, i % FOLDS)
-    seeds = [w for w in held if (w in known or not passed[w]) and spoken(w) and unexplained(w)]
-    others = [Measure(_content(w for w in seeds if fold_of[w] != k or held[w] > 1)) for k in range(FOLDS)]
-    seeds = [w for w in seeds if w in known or others[fold_of[w]](w) < median(m(w) for m in ordinary)]
-    abusive = Measure(_content(seeds))
+    ordinary = [Measure(dictionary(f, ORDINARY_BYTES)) for f in folds]
+    words = telling(cases, fine)
+    asked = [w for w in held if (w in known or not passed[w]) and any(x in words for x in _word.findall(w))]
+    seeds = [w for w in asked if _share(w, median(m(w) for m in ordinary)) > UNEXPLAINED]
+    content = dictionary(seeds, ABUSIVE_BYTES)
+    abusive = Measure(content)
     clean: dict[str, None] = {}
     for k, f in enumerate(folds):
         rest = [m for j, m in enumerate(ordinary) if j != k]
         for w in f:
+            if not seeds or abusive(w) >= len(w.encode()) * CLEARLY:
+                clean[w] = None
+                continue
             best = min(m(w) for m in rest)
-            if not (_share(w, best) > 0.45 and _share(w, best - abusive(w)) > 0.25):
+            if not (_share(w, best) > UNEXPLAINED and _share(w, best - abusive(w)) > FAR_BETTER):
                 clean[w] = None
-    return _content(clean), _content(seeds)
+    return dictionary(clean, ORDINARY_BYTES), content
 
 
 def _best_threshold(scored: list[tuple[float, bool]]) -> float:
@@ -179,17 +214,17 @@ def _best_threshold(scored: list[tuple[float, bool]]) -> float:
 
 
 def train(labelled: list[tuple[str, bool]]) -> Model:
-    """A model of texts and whether each is a case. A quarter of them, in their order, sets the threshold; then the
-    dictionaries are made of all. Without a case there is nothing to know one by, and every score is 0."""
+    """A model of texts and whether each is a case. Each fold of them, in their order, is scored by the dictionaries of the
+    others; that sets the threshold. Then the dictionaries are made of all. Without a case there is nothing to know one
+    by, and every score is 0."""
     docs = [(windows(t), case) for t, case in labelled]
     pick = lambda some, case: [w for w, c in some if c == case]
-    kept, aside = [d for i, d in enumerate(docs) if i % 4], docs[::4]
-    threshold = DEFAULT_THRESHOLD
-    if sum(c for _, c in aside) >= 20:
+    judged: list[tuple[float, bool]] = []
+    for k in range(FOLDS):
+        kept = [d for i, d in enumerate(docs) if i % FOLDS != k]
         judge = Model(*_trained(pick(kept, False), pick(kept, True)))
-        threshold = _best_threshold([(max([0.0, *map(judge.window, w)]), c) for w, c in aside])
-    ordinary, abusive = _trained(pick(docs, False), pick(docs, True))
-    return Model(ordinary, abusive, threshold)
+        judged += [(judge.worst(w), c) for w, c in docs[k::FOLDS]]
+    return Model(*_trained(pick(docs, False), pick(docs, True)), _best_threshold(judged))
 
 
 def verdicts(reviews: DataFrame) -> DataFrame:
@@ -211,7 +246,7 @@ def fit(docs: DataFrame, reviews: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """`doc_id, *keep, score, flagged` of every document; a null or empty text has score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ORDINARY_BYTES and ABUSIVE_BYTES
 
     @F.pandas_udf(T.DoubleType())
     def of(texts: pd.Series) -> pd.Series:

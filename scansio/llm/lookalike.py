@@ -89,12 +89,22 @@ def _latin_words(text: str) -> str:
     return re.sub(r"[^\W\d_]+", word, text)
 
 
+@cache
+def _in_map() -> re.Pattern:
+    """Any character of the map, or any beyond the first plane, which would make a slow pattern one by one."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(character_map()) if c < 0x10000) + "\U00010000-\U0010ffff]")
+
+
+def _by_character(text: str) -> str:
+    return text.translate(character_map()) if not text.isascii() and _in_map().search(text) else text
+
+
 def mapped(text: str | None) -> str | None:
     """The look-alike-mapped form of a text, composed or split as it was as long as its marks stand in canonical order;
     null stays null."""
     if text is None:
         return None
-    text = text.translate(character_map())
+    text = _by_character(text)
     split = unicodedata.is_normalized("NFD", text)
     if not split:
         text = unicodedata.normalize("NFC", text)
@@ -108,6 +118,15 @@ def mapped(text: str | None) -> str | None:
     return _spaces.sub(" ", text).strip()
 
 
+def alike(text: str) -> str:
+    """A text with its width and positional forms, spaces, invisible characters and look-alike letters mapped, composed, with
+    its spaces and line ends as they are."""
+    text = unicodedata.normalize("NFC", _by_character(text))
+    if _foreign.search(text):
+        text = unicodedata.normalize("NFC", _latin_words(text))
+    return _placed.sub(_placed_letter, text)
+
+
 _weightless: dict[str, tuple[str, str]] = {}
 
 

@@ -171,3 +171,30 @@ def test_nothing_to_learn(spark):
     assert {r.source: r.documents for r in abuse.rates(got).collect()} == {"a": 1, None: 1}
     assert {r.doc_id: r.case for r in abuse.verdicts(reviews).collect()} == {1: False, 2: True}
     assert abuse.scored(docs.limit(0), model).count() == 0
+
+
+def test_windows_leave_nothing_out():
+    assert abuse.windows("Idiot!") == ["idiot!"] and abuse.windows("Thanks for this.\nIdiot!") == ["thanks for this. idiot!"]
+    assert abuse.windows("b i t  ok\nsome other line") == ["bit ok some other line"] and abuse.windows("🙂 12") == []
+    long = "word " * 200
+    assert all(len(w) <= abuse.LONG for w in abuse.windows(long)) and len(abuse.windows("x“" + "abc " * 300 + "”")) <= 1
+
+
+@pytest.mark.parametrize("n", [12, 24, 60])
+def test_few_cases_follow_the_same_rule(n):
+    model = abuse.train(labelled(n))
+    right = sum((model.score(t) >= model.threshold) == c for t, c in labelled(160)[180:])
+    assert right / 60 > 0.9
+
+
+def test_dictionaries_are_bounded():
+    texts = [f"line {i} of some text that is {i * 7919 % 1000} characters from the end" for i in range(4000)]
+    assert len(abuse.dictionary(texts, 20_000)) <= 20_000 and abuse.dictionary(texts[:3], 20_000) == "\n".join(texts[:3]).encode()
+    made = abuse.Measure(abuse.dictionary(texts, 20_000))
+    assert made(texts[7]) < abuse.Measure(b"")(texts[7])
+
+
+def test_words_tell_only_beyond_chance():
+    rng = __import__("random").Random(3)
+    docs = [([" ".join(f"w{rng.randint(0, 400)}x".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(6))], i % 7 == 0) for i in range(300)]
+    assert abuse.telling([d for d, c in docs if c], [d for d, c in docs if not c]) == set()
