@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,28 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
+def place_column(rows: list[tuple[int, int, int, int, int, int]]):
+    """A column function of size and rank to `container, place`, by a binary search among the sorted ranges of `slots`: an
+    item meets one range, however many patterns use its size. The table has at most as many rows as the patterns have
+    sizes, which the capacity bounds."""
+    table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    sizes, first = np.unique(table[:, 0], return_index=True)
+
+    @F.pandas_udf(T.StructType([T.StructField("container", T.LongType()), T.StructField("place", T.IntegerType())]))
+    def of(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        own, r = size.to_numpy(), rank.to_numpy()
+        row = np.empty(len(own), np.int64)
+        at = np.searchsorted(sizes, own)
+        for k in np.unique(at):
+            here = at == k
+            low, high = first[k], first[k + 1] if k + 1 < len(first) else len(table)
+            row[here] = low + np.searchsorted(table[low:high, 1], r[here], side="right") - 1
+        beyond = r - table[row, 1]
+        return pd.DataFrame({"container": table[row, 4] + beyond // table[row, 3], "place": (table[row, 5] + beyond % table[row, 3]).astype(np.int32)})
+
+    return of
+
+
 def split_pieces(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
     """`key, piece, size, offset`: an item within the capacity is one piece; a larger one is cut into full pieces and
     what is left. An item of size 0 is one piece of size 0, one of unknown size (null) counts as that."""
@@ -111,18 +135,8 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     counted = filled.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     histogram = spark.createDataFrame([(r["size"], r["n"]) for r in counted], "size int, n long")
     rows = slots(shortest_pack_first({r["size"]: r["n"] for r in counted}, capacity))
-    schema = T.StructType([T.StructField(n, T.LongType() if n != "size" else T.IntegerType()) for n in ("size", "first_rank", "next_rank", "per_container", "first_container", "first_place")])
-    places = spark.createDataFrame(rows, schema)
-    at = F.col("rank") - F.col("first_rank")
-    met = ranked(filled, histogram, key, "piece").join(F.broadcast(places), "size").where((at >= 0) & (F.col("rank") < F.col("next_rank")))
-    put = met.select(
-        (F.col("first_container") + F.floor(at / F.col("per_container"))).cast("long").alias("container"),
-        key,
-        "piece",
-        (F.col("first_place") + at % F.col("per_container")).cast("int").alias("place"),
-        "size",
-        "offset",
-    )
+    at = place_column(rows)(F.col("size"), F.col("rank"))
+    put = ranked(filled, histogram, key, "piece").select(at.alias("at"), key, "piece", "size", "offset").select("at.container", key, "piece", "at.place", "size", "offset")
     none = pieces.where(F.col("size") == 0).select(F.lit(None).cast("long").alias("container"), key, "piece", F.lit(None).cast("int").alias("place"), "size", "offset")
     return put.unionByName(none)
 

@@ -3,7 +3,7 @@
 A text of up to `leaf_chars` code points is one leaf and is encoded as it is. A longer one is cut into leaves that are
 encoded in parallel, wherever they lie; the encodings are then joined two by two, as a tree. Two encodings rarely just
 follow each other at a join: the cut may stand within a piece of the splitting pattern, or within a run of merges. So a
-window around the join is encoded anew, and grows on either side until both sides agree with it exactly:
+window around the join is encoded anew, and grows until both sides agree with it exactly:
 
 * The splitting pattern looks ahead by one character and never back. From any place where a piece begins, the pieces
   that follow depend only on what is right of it. A window that begins at a piece of the left side, and in which a piece
@@ -19,9 +19,10 @@ window around the join is encoded anew, and grows on either side until both side
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -89,27 +90,23 @@ class Encoder:
             return right if not left.text else left
         size, n = len(left.text), len(left.starts)
         text = left.text + right.text
-        # The last piece may go on in the right text, and the one before it may have looked at its end.
-        for back in range(2, n + 2):
-            first = max(0, n - back)
-            begin = left.starts[first]
-            agreed = self._meet(text, begin, size, right)
-            if agreed is not None:
-                fresh, k = agreed
-                starts, at, ids = left.starts[:first], left.at[:first], left.ids[: left.at[first]]
-                for s, e in fresh:
-                    starts.append(s)
-                    at.append(len(ids))
-                    ids += self._span(text, s, e, left, right, size)
-                if k < len(right.starts):
-                    shift = len(ids) - right.at[k]
-                    starts += [s + size for s in right.starts[k:]]
-                    at += [a + shift for a in right.at[k:]]
-                    ids += right.ids[right.at[k] :]
-                return Node(text, ids, starts, at)
-        raise AssertionError("a piece begins at 0, from where the pieces of any text are known")
-
-    def _meet(self, text: str, begin: int, size: int, right: Node) -> tuple[list[tuple[int, int]], int] | None:
+        # The last piece may go on in the right text, and the one before it may have looked at its end: the window begins
+        # with these two, which no text to the right can change the begin of, and grows to the right only.
+        first = max(0, n - 2)
+        fresh, k = self._meet(text, left.starts[first], size, right)
+        starts, at, ids = left.starts[:first], left.at[:first], left.ids[: left.at[first]]
+        for s, e in fresh:
+            starts.append(s)
+            at.append(len(ids))
+            ids += self._span(text, s, e, left, right, size)
+        if k < len(right.starts):
+            shift = len(ids) - right.at[k]
+            starts += [s + size for s in right.starts[k:]]
+            at += [a + shift for a in right.at[k:]]
+            ids += right.ids[right.at[k] :]
+        return Node(text, ids, starts, at)
+
+    def _meet(self, text: str, begin: int, size: int, right: Node) -> tuple[list[tuple[int, int]], int]:
         """The pieces from `begin` up to the first that begins on the right side where one of its own does, and which
         of them that is. The window grows by a piece at a time."""
         own = {s + size: k for k, s in enumerate(right.starts[1:], 1)}
@@ -167,12 +164,17 @@ class Node:
     def __init__(self, text: str, ids: list[int], starts: list[int], at: list[int]):
         self.text, self.ids, self.starts, self.at = text, ids, starts, at
 
-    def pack(self) -> str:
-        return json.dumps([self.ids, self.starts, self.at], separators=(",", ":"))
+    def pack(self) -> bytes:
+        """Tokens and the lengths of pieces, in text and in tokens."""
+        lengths = [np.diff(x, append=[end]) for x, end in ((self.starts, len(self.text)), (self.at, len(self.ids)))]
+        return b"".join(np.asarray(x, np.uint32).tobytes() for x in ([len(self.ids)], self.ids, *lengths))
 
     @staticmethod
-    def unpack(text: str, packed: str) -> Node:
-        return Node(text, *json.loads(packed))
+    def unpack(text: str, packed: bytes) -> Node:
+        n, *rest = np.frombuffer(packed, np.uint32).tolist()
+        pieces = (len(rest) - n) // 2
+        starts, at = (list(accumulate(x[:-1], initial=0)) if x else [] for x in (rest[n : n + pieces], rest[n + pieces :]))
+        return Node(text, rest[:n], starts, at)
 
 
 def join_all(encoder: Encoder, nodes: list[Node]) -> Node:
@@ -234,7 +236,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf
         return pd.DataFrame({"_key": pdf["_key"].iloc[:1].values, "ids": [node.ids]})
 
     spread = long.mapInPandas(leaves, "_key string, _row long, _at long, _leaf string").repartition("_row", "_at")
-    coded = spread.mapInPandas(encode, "_key string, _row long, _at long, _leaf string, _packed string")
+    coded = spread.mapInPandas(encode, "_key string, _row long, _at long, _leaf string, _packed binary")
     trees = coded.groupBy("_row").applyInPandas(joined, "_key string, ids array<int>")
     return short.mapInArrow(whole, f"{key} {kind}, ids array<int>").unionByName(trees.select(F.col("_key").cast(kind).alias(key), "ids"))
 
