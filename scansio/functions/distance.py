@@ -11,65 +11,80 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
-def _codes(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks by character of the pattern, [words, characters + 1]; the texts' characters, [texts, longest]; lengths."""
+def encoded(pattern: str, flat: str) -> tuple[np.ndarray, np.ndarray]:
+    """Masks by character of the pattern, [words, characters + 1], and the place of each character of `flat` in them."""
     chars = np.unique(np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), np.uint32))
     place = {chr(c): i for i, c in enumerate(chars.tolist())}
     masks = np.zeros(((len(pattern) + 63) // 64, len(chars) + 1), np.uint64)
     for i, c in enumerate(pattern):
         masks[i >> 6, place[c]] |= _ONE << np.uint64(i & 63)
-    lens = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.minimum(np.searchsorted(chars, flat), len(chars) - 1)
-    ids = np.where(chars[at] == flat, at, len(chars))
-    out = np.full((len(texts), int(lens.max(initial=0))), len(chars), np.int64)
-    out[np.arange(out.shape[1]) < lens[:, None]] = ids
-    return masks, out, lens
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(chars, codes), len(chars) - 1)
+    return masks, np.where(chars[at] == codes, at, len(chars))
 
 
-def distances(pattern: str, texts: list[str], anchored: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Distances to the whole texts, and the least to any of their prefixes; with `anchored` false, to stretches of them
-    that begin anywhere: the second is then the least distance to any stretch."""
-    m, n = len(pattern), len(texts)
+def stretches(pattern: str, flat: str, starts: np.ndarray, lens: np.ndarray, anchored: bool = True, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches of one text: distances to the whole stretches, the least to any of their prefixes, and those to their
+    first `asked` characters (0 where none are asked), all from one pass. With `anchored` false, to stretches of them that
+    begin anywhere: the second is then the least distance to any stretch."""
+    m, n = len(pattern), len(starts)
     if not m or not n:
-        lens = np.array([len(t) for t in texts], np.int64)
-        return (lens if anchored else np.zeros(n, np.int64)), np.zeros(n, np.int64)
-    masks, codes, lens = _codes(pattern, texts)
+        none = np.zeros(n, np.int64)
+        return (lens if anchored else none), none, (asked if anchored and asked is not None else none)
+    masks, ids = encoded(pattern, flat)
     order = np.argsort(-lens, kind="stable")
-    codes, sizes = codes[order], lens[order]
+    sizes = lens[order]
+    longest = int(sizes[0])
+    codes = ids[np.minimum(starts[order] + np.arange(longest)[:, None], max(len(ids) - 1, 0))] if len(ids) else np.zeros((0, n), np.int64)
+    active_at = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+    wanted = np.zeros(n, np.int64) if asked is None else asked[order]
+    by_size = np.argsort(wanted, kind="stable")
+    bounds = np.searchsorted(wanted[by_size], np.arange(longest + 2))
     words, top = len(masks), np.uint64((m - 1) & 63)
     up = np.full((words, n), ~np.uint64(0))
     down = np.zeros((words, n), np.uint64)
     d = np.full(n, m, np.int64)
-    best = d.copy()
-    active = n
+    best, there = d.copy(), d.copy()
     high = np.uint64(63)
-    for j in range(codes.shape[1]):
-        while active and sizes[active - 1] <= j:
-            active -= 1
+    for j in range(longest):
+        active = int(active_at[j])
         carry = np.zeros(active, np.uint64)
         hp_in = np.full(active, np.uint64(anchored))
         hm_in = np.zeros(active, np.uint64)
         for w in range(words):
-            eq, u, v = masks[w][codes[:active, j]], up[w, :active], down[w, :active]
+            eq, u, v = masks[w][codes[j, :active]], up[w, :active], down[w, :active]
             xv = eq | v
-            part = eq & u
-            total = part + u
+            total = (eq & u) + u
             over = total < u
-            total += carry
-            carry = (over | ((carry == _ONE) & (total == 0))).astype(np.uint64)
+            if w:
+                total += carry
+                over |= (carry == _ONE) & (total == 0)
+            if w < words - 1:
+                carry = over.astype(np.uint64)
             xh = (total ^ u) | eq
             hp, hm = v | ~(xh | u), u & xh
             if w == words - 1:
                 d[:active] += ((hp >> top) & _ONE).astype(np.int64) - ((hm >> top) & _ONE).astype(np.int64)
-            hp_out, hm_out = hp >> high, hm >> high
+            else:
+                hp_out, hm_out = hp >> high, hm >> high
             hp, hm = (hp << _ONE) | hp_in, (hm << _ONE) | hm_in
-            hp_in, hm_in = hp_out, hm_out
+            if w < words - 1:
+                hp_in, hm_in = hp_out, hm_out
             up[w, :active], down[w, :active] = hm | ~(xv | hp), hp & xv
-        np.minimum(best[:active], d[:active], out=best[:active])
-    final, least = np.empty(n, np.int64), np.empty(n, np.int64)
-    final[order], least[order] = d, best
-    return final, least
+        if not anchored:
+            np.minimum(best[:active], d[:active], out=best[:active])
+        if bounds[j + 1] < bounds[j + 2]:
+            some = by_size[bounds[j + 1] : bounds[j + 2]]
+            there[some] = d[some]
+    out = np.empty((3, n), np.int64)
+    out[:, order] = d, best, there
+    return out[0], out[1], out[2]
+
+
+def distances(pattern: str, texts: list[str], anchored: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the whole texts; and, with `anchored` false, the least distance to any stretch of each."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    return stretches(pattern, "".join(texts), np.cumsum(lens) - lens, lens, anchored)[:2]
 
 
 def ratios(pattern: str, texts: list[str]) -> np.ndarray:

@@ -88,41 +88,62 @@ def partials_of(q: str, qns: str, rows: list[tuple[list[str], str, str | None, s
     windowed = [(i, 2, rows[i][0]) for i in fewer] + [(i, 3, nb) for i in fewer if rows[i][2] and len(nb := rows[i][2].split(" ")) >= 3]
     place = {w: k for k, w in enumerate(dict.fromkeys(w for _, _, words in windowed for w in words))}
     similar = [np.where([bool(w) for w in place], ds.ratios(a, list(place)), float(not a)) if a else np.array([float(not w) for w in place]) for a in t]
-    at: list[tuple[int, int]] = []
-    texts: list[str] = []
-
-    def ask(i: int, col: int, words: list[str], size: int, last: int) -> None:
-        texts.extend(" ".join(words[s : s + size]) for s in range(last + 1))
-        at.extend([(i, col)] * (last + 1))
-
     for i, col, words in windowed:
         if len(words) >= n:
             ids = [place[w] for w in words]
             sims = np.array([similar[k][ids[k : k + len(words) - n + 1]] for k in range(n)])
             out[i, col] = (0.6 * ((sims >= sc.WORD_MATCH).sum(axis=0) / n) + 0.4 * (sims.sum(axis=0) / n)).max()
-        ask(i, col, words, n - 1, len(words) - n + 1)
-        ask(i, col, words, n + 1, len(words) - n - 1)
+    sliding = {i for i in wide if len(qns) < len(rows[i][1]) * 0.8}
+    _windows_of(q, n, [(i, col, words, col == 2 and i in sliding) for i, col, words in windowed] + [(i, None, rows[i][0], True) for i in sliding.difference(fewer)], out)
     joined = []
     for i in wide:
-        words, ns = rows[i][0], rows[i][1]
-        if len(qns) < len(ns) * 0.8:
-            ask(i, 4, words, n + 1, len(words) - min(n, len(words)))
+        words = rows[i][0]
+        if i in sliding:
             whole = "".join(words)
             if 5 <= len(qns) < len(whole) * 0.85:
                 joined.append((i, whole))
-    if texts:
-        np.maximum.at(out, tuple(np.array(at).T), ds.ratios(q, texts))
     if joined:
         i = [i for i, _ in joined]
         out[i, 4] = np.maximum(out[i, 4], ds.fragments(qns, [x for _, x in joined]))
     return out
 
 
+def _windows_of(q: str, n: int, asked: list[tuple[int, int | None, list[str], bool]], out: np.ndarray) -> None:
+    """Raise `out` to the ratios of `q`, of `n` words, with runs of words of verses. Of `row, column, words, slides`: runs of
+    one word less and one more count in the column; with `slides` those of one more, cut at the verse's end, in the last.
+    Runs from one place are prefixes of one stretch, so each place is one pass."""
+    flat, starts, lens, short, places = [], [], [], [], []
+    base = 0
+    for i, col, words, slides in asked:
+        ends = np.cumsum([len(w) + 1 for w in words])  # each word with the space after it
+        begins = np.concatenate([[0], ends[:-1]])
+        s = np.arange(max(1, len(words) - n + (2 if col is not None else 1)))
+        stop = np.minimum(s + n + 1, len(words))
+        starts.append(base + begins[s])
+        lens.append(ends[stop - 1] - 1 - begins[s])
+        less = s + n - 1
+        short.append(np.where((less >= 1) & (less <= len(words)) & (col is not None), ends[np.clip(less, 1, len(words)) - 1] - 1 - begins[s], 0))
+        whole = np.where(s + n + 1 <= len(words), col if col is not None else -1, -1)
+        slide = np.where(slides & (s <= max(0, len(words) - n)), 4, -1)
+        places.append(np.stack([np.full(len(s), i), np.full(len(s), -1 if col is None else col), whole, slide]))
+        flat.append(" ".join(words) + " ")
+        base += int(ends[-1])
+    if not flat:
+        return
+    start, size, less = (np.concatenate(x).astype(np.int64) for x in (starts, lens, short))
+    row, col, whole, slide = np.concatenate(places, axis=1)
+    full, _, part = ds.stretches(q, "".join(flat), start, size, asked=less)
+    ratio = lambda d, length: (len(q) + length - d) / np.maximum(1, len(q) + length)
+    for columns, scores in ((np.where(less > 0, col, -1), ratio(part, less)), (whole, ratio(full, size)), (slide, ratio(full, size))):
+        there = columns >= 0
+        np.maximum.at(out, (row[there], columns[there]), scores[there])
+
+
 def _partials(partial: bool):
     @F.pandas_udf(_partial_kind)
-    def run(q: pd.Series, qns: pd.Series, words: pd.Series, ns: pd.Series, nb: pd.Series, nb_ns: pd.Series) -> pd.DataFrame:
+    def run(q: pd.Series, qns: pd.Series, norm: pd.Series, ns: pd.Series, nb: pd.Series, nb_ns: pd.Series) -> pd.DataFrame:
         got = np.zeros((len(q), 5))
-        rows = list(zip((list(w) for w in words), ns, nb, nb_ns))
+        rows = list(zip((v.split(" ") for v in norm), ns, nb, nb_ns))  # cheaper than arrays of words on their way here
         for _, at in q.reset_index(drop=True).groupby(q.to_numpy()).groups.items():
             i = at.to_numpy()
             got[i] = partials_of(q.iloc[i[0]], qns.iloc[i[0]], [rows[k] for k in i], partial)
@@ -133,9 +154,11 @@ def _partials(partial: bool):
 
 def score_pairs(pairs: DataFrame, partial: bool = True) -> DataFrame:
     """`pairs` of transcript and verse columns and `bonus` with `raw` and `total`, the parts that need Python in one
-    Arrow pass over pairs of a transcript that lie together, the rest native."""
-    spread = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "qid", "book")
-    p = spread.withColumn("_p", _partials(partial)("q", "qns", "words", "ns", "no_bsm", "no_bsm_ns"))
+    Arrow pass over pairs of a transcript that lie together, the rest native. A transcript has a bounded number of pairs;
+    their number of partitions is given, as the sizes by which AQE merges them don't tell the work in Python."""
+    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, parts_of(pairs))
+    together = pairs.repartition(parts, "qid").sortWithinPartitions("qid")
+    p = together.withColumn("_p", _partials(partial)("q", "qns", "norm", "ns", "no_bsm", "no_bsm_ns"))
     c = F.col
     parts = [
         F.when(F.length("ns") > 0, smart(c("qns"), c("ns"), c("_p.frag"))),
@@ -196,25 +219,31 @@ def match(queries: DataFrame, corpus: DataFrame, profile: Profile = PRODUCT) ->
     """`qid, book, surah, ayah, ayah_end, score, raw, bonus` of the best verse or run of every transcript that reaches the
     threshold; `ayah_end` is null for a single verse. `queries` has qid, text and may have hint_surah, hint_ayah."""
     prepared = prepare(queries)
-    singles = score_candidates(prepared, corpus, profile)
+    # Scored once: of each transcript the few rows that both branches need are written.
+    singles = cut(score_candidates(prepared, corpus, profile).where(F.col("place") <= profile.groups))
     best = singles.where("place = 1").select("qid", "book", "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("total").alias("score"), "raw", "bonus", F.lit(0).alias("kind"), F.struct(F.lit(0), F.lit(0), F.lit(0)).alias("o"))
-    groups = singles.where(F.col("place") <= profile.groups).groupBy("qid", "book", "surah").agg(F.min("place").alias("g"), F.first("best").alias("best"))
-    pairs = groups.join(runs_of(corpus, profile.span), ["book", "surah"]).join(prepared.select("qid", "q", "qns"), "qid")
+    groups = singles.groupBy("qid", "book", "surah").agg(F.min("place").alias("g"), F.first("best").alias("best"))
+    asked = groups.join(prepared.select("qid", "q", "qns"), "qid")
+    if "hint_surah" in prepared.columns:
+        # A bonus belongs to at most three first verses of a hint: they are an array of the transcript's book and surah.
+        likely = cp.continuation_bonuses(prepared, corpus).groupBy("qid", "book", "surah").agg(F.map_from_entries(F.collect_list(F.struct("ayah", "bonus"))).alias("likely"))
+        asked = asked.join(likely, ["qid", "book", "surah"], "left")
+        bonus = F.coalesce(F.col("a.likely")[F.col("r.ayah")], F.lit(0.0))
+    else:
+        bonus = F.lit(0.0)
+    a, r = asked.alias("a"), runs_of(corpus, profile.span).withColumn("run_n", F.length("run_norm")).alias("r")
+    on = (F.col("a.book") == F.col("r.book")) & (F.col("a.surah") == F.col("r.surah"))
     if not profile.span_smart:
         # No text is more like another than their lengths allow; a run must score more than the best single verse.
-        m, n = F.length("q"), F.length("run_norm")
-        most = max(cp.BONUSES) if "hint_surah" in prepared.columns else 0.0
-        pairs = pairs.where(2 * F.least(m, n) / (m + n) + F.lit(most) > F.col("best"))
+        m, n = F.length("a.q"), F.col("r.run_n")
+        on = on & (2 * F.least(m, n) / (m + n) + bonus > F.col("a.best"))
+    pairs = a.join(r, on).select("a.qid", "a.book", "a.surah", "a.g", "a.q", "a.qns", "r.start", "r.ayah", "r.n", "r.ayah_end", "r.run_norm", bonus.alias("bonus"))
     if profile.span_smart:
         pairs = pairs.withColumn("rns", tx.no_spaces(F.col("run_norm")))
         raw = F.greatest(smart(F.col("qns"), F.col("rns"), F.col("f")), sc.ratio(F.col("q"), F.col("run_norm")))
         pairs = pairs.withColumn("f", sc.fragment(F.col("qns"), F.col("rns"))).withColumn("raw", raw)
     else:
         pairs = pairs.withColumn("raw", sc.ratio(F.col("q"), F.col("run_norm")))
-    if "hint_surah" in prepared.columns:
-        pairs = pairs.join(cp.continuation_bonuses(prepared, corpus), ["qid", "book", "surah", "ayah"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
-    else:
-        pairs = pairs.withColumn("bonus", F.lit(0.0))
     runs = pairs.select("qid", "book", "surah", "ayah", "ayah_end", F.least(F.col("raw") + F.col("bonus"), F.lit(1.0)).alias("score"), "raw", "bonus", F.lit(1).alias("kind"), F.struct("g", "start", "n").alias("o"))
     # Partial aggregation keeps one row a transcript and task: the greatest score, a single before a run, the first run.
     o = lambda d, names: d.withColumn("k", F.struct("score", (-F.col("kind")).alias("a"), *[(-F.col("o")[n]).alias(f"b{i}") for i, n in enumerate(names)])).drop("o")
@@ -223,17 +252,24 @@ def match(queries: DataFrame, corpus: DataFrame, profile: Profile = PRODUCT) ->
     return top.where(F.col("score") >= profile.threshold)
 
 
+def parts_of(df: DataFrame) -> int:
+    """In how many parts a table meets a query set: as many as shuffles have partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """`qid, book, idx, score, place`: the k most similar verses of each transcript by ratio, of all verses.
 
     Every transcript of the stated set meets every verse: that is what a full scan means. They meet in blocks of at most
-    about SEARCH_BLOCK transcripts, joined by the block's number, and each task passes on no more than its k best.
+    about SEARCH_BLOCK transcripts, and the verses in as many parts as there are shuffle partitions, so that a block is
+    the work of many tasks; each task passes on no more than its k best.
     """
     prepared = prepare(queries).select("qid", "q")
     blocks = max(1, -(-prepared.count() // SEARCH_BLOCK))
-    asked = prepared.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    verses = corpus.select("book", "idx", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = verses.join(asked, "block").select("qid", "book", "idx", sc.ratio(F.col("q"), F.col("norm")).alias("score"))
+    parts = parts_of(corpus)
+    asked = prepared.select("*", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    verses = corpus.select("book", "idx", "norm", F.pmod(F.xxhash64("book", "idx"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scored = verses.join(asked, ["block", "part"]).select("qid", "book", "idx", sc.ratio(F.col("q"), F.col("norm")).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "book", "idx")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
