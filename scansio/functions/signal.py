@@ -22,6 +22,11 @@ def is_silence(samples: Column) -> Column:
     return rms(samples) < SILENCE_RMS
 
 
+def is_sound(samples: Column, window: int = 256) -> Column:
+    """Whether the level meter shows anything: the last window is louder than LEVEL_RMS."""
+    return rms(tail(samples, window)) > LEVEL_RMS
+
+
 def tail(samples: Column, n: int) -> Column:
     """The last n samples, or all if there are fewer."""
     return F.when(F.size(samples) <= n, samples).otherwise(F.slice(samples, -n, n))

@@ -93,6 +93,23 @@ def equivalence_pairs(corpus: DataFrame) -> DataFrame:
     return forms.join(other, "form").where("book <> other_book OR idx <> other_idx").select("book", "idx", "other_book", "other_idx").distinct()
 
 
+def equivalent_refs(corpus: DataFrame) -> DataFrame:
+    """`surah, ayah, other_surah, other_ayah` of references within one surah whose verses have equal text in some book: by
+    norm, by text without the opening, or one against the other. References of a text meet in their own surah of a book
+    only, so however common a text is, no more meet than a surah has verses."""
+    form = F.explode(F.array_distinct(F.array_compact(F.array("norm", "no_bsm")))).alias("form")
+    forms = corpus.select("book", "surah", "ayah", form).where("form <> ''")
+    other = forms.withColumnRenamed("ayah", "other_ayah")
+    return forms.join(other, ["book", "surah", "form"]).where("ayah <> other_ayah").select("surah", "ayah", F.col("surah").alias("other_surah"), "other_ayah").distinct()
+
+
+def surah_list(corpus: DataFrame) -> DataFrame:
+    """`book, surah, surah_name, place`: the surahs of a book in the order in which they first occur, from 0."""
+    first = corpus.groupBy("book", "surah").agg(F.min(F.struct("idx", "surah_name")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("book").orderBy("f.idx")) - 1
+    return first.select("book", "surah", "f.surah_name", place.alias("place"))
+
+
 def equivalence_groups(corpus: DataFrame) -> DataFrame:
     """`form, verses` of every text that more than one verse has, with or without its opening: each verse counted once a
     text. One row a text: nothing is paired."""

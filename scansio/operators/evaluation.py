@@ -1,14 +1,17 @@
 """Evaluation of predictions against expected references.
 
-`predictions`: qid, surah, ayah, ayah_end (null for a single verse), score; no row where there is no answer.
+`predictions`: qid, surah, ayah, ayah_end (null for a single verse), score and, where it is known, time_ms; no row where
+there is no answer.
 `expected`: qid, surah, ayah, one row for each expected verse in `pos`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.functions.score import ratio
+
 #: Classes from best to worst; lenient accuracy counts all but the last three.
 CLASSES = ("exact", "equivalent", "within1", "within2", "same_surah", "wrong", "no_match")
 
@@ -41,7 +44,8 @@ def classify(samples: DataFrame, predictions: DataFrame, equivalents: DataFrame
     """`qid, category, source, surah, ayah, class` by the first expected verse. `equivalents` are pairs of references
     (surah, ayah, other_surah, other_ayah) of equal text; they count inside the same surah only."""
     want = expected_rows(samples).where("pos = 0")
-    p = predictions.select("qid", F.col("surah").alias("p_surah"), F.col("ayah").alias("p_ayah"), F.col("ayah_end").alias("p_end"))
+    times = [c for c in ("time_ms",) if c in predictions.columns]
+    p = predictions.select("qid", F.col("surah").alias("p_surah"), F.col("ayah").alias("p_ayah"), F.col("ayah_end").alias("p_end"), *times)
     met = want.join(p, "qid", "left")
     if equivalents is None:
         met = met.withColumn("eq", F.lit(False))
@@ -49,13 +53,40 @@ def classify(samples: DataFrame, predictions: DataFrame, equivalents: DataFrame
         eq = equivalents.where("surah = other_surah").select("surah", "ayah", F.col("other_surah").alias("p_surah"), F.col("other_ayah").alias("p_ayah"), F.lit(True).alias("eq")).distinct()
         met = met.join(eq, ["surah", "ayah", "p_surah", "p_ayah"], "left")
     c = F.col
-    return met.select("qid", "category", "source", "surah", "ayah", _class(c("surah"), c("ayah"), c("p_surah"), c("p_ayah"), c("p_end"), c("eq")).alias("class"))
+    return met.select("qid", "category", "source", "surah", "ayah", _class(c("surah"), c("ayah"), c("p_surah"), c("p_ayah"), c("p_end"), c("eq")).alias("class"), *times)
+
+
+def similar_refs(samples: DataFrame, predictions: DataFrame, corpus: DataFrame, above: float = 0.95) -> DataFrame:
+    """`surah, ayah, other_surah, other_ayah` of expected and predicted references of one surah whose texts without opening
+    and spaces (`no_bsm_ns`, or else `ns`) have a ratio above `above` in some book."""
+    text = F.coalesce("no_bsm_ns", "ns")
+    asked = expected_rows(samples).select("qid", "surah", "ayah").join(predictions.select("qid", "surah", F.col("ayah").alias("other_ayah")), ["qid", "surah"]).select("surah", "ayah", "other_ayah").where("ayah <> other_ayah").distinct()
+    a = corpus.select("book", "surah", "ayah", text.alias("a"))
+    b = corpus.select("book", "surah", F.col("ayah").alias("other_ayah"), text.alias("b"))
+    near = asked.join(a, ["surah", "ayah"]).join(b, ["book", "surah", "other_ayah"]).where(ratio(F.col("a"), F.col("b")) > above)
+    return near.select("surah", "ayah", F.col("surah").alias("other_surah"), "other_ayah").distinct()
+
+
+FIVE = ("correct", "equiv", "adjacent", "wrong", "no_match")
+
+
+def classify_five(samples: DataFrame, predictions: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """`qid, category, source, class` of FIVE, the best that any expected verse of the predicted surah gives: in the run, of
+    equal text with its first verse, or next to either of its ends."""
+    p = predictions.select("qid", F.col("surah").alias("p_surah"), F.col("ayah").alias("p_ayah"), F.coalesce("ayah_end", "ayah").alias("p_end"))
+    eq = equivalents.where("surah = other_surah").select("surah", "ayah", F.col("other_ayah").alias("p_ayah"), F.lit(True).alias("eq")).distinct()
+    met = expected_rows(samples).join(p, "qid", "left").join(eq, ["surah", "ayah", "p_ayah"], "left")
+    near = (F.abs(F.col("ayah") - F.col("p_ayah")) <= 1) | (F.abs(F.col("ayah") - F.col("p_end")) <= 1)
+    rank = F.when(F.col("p_surah").isNull(), 4).when(F.col("surah") != F.col("p_surah"), 3).when(F.col("ayah").between(F.col("p_ayah"), F.col("p_end")), 0).when(F.col("eq"), 1).when(near, 2).otherwise(3)
+    best = met.groupBy("qid", "category", "source").agg(F.min(rank).alias("r"))
+    return best.select("qid", "category", "source", F.element_at(F.array(*map(F.lit, FIVE)), F.col("r") + 1).alias("class"))
 
 
 def accuracy(classified: DataFrame, by: str) -> DataFrame:
-    """`by, n, exact, lenient` and a row with null `by` for all (rollup)."""
+    """`by, n, exact, lenient`, with time_ms also `avg_ms`, and a row with null `by` for all (rollup)."""
+    times = [F.avg("time_ms").alias("avg_ms")] if "time_ms" in classified.columns else []
     of = lambda *names: F.avg(F.col("class").isin(*names).cast("int"))
-    return classified.rollup(by).agg(F.count(F.lit(1)).alias("n"), of("exact").alias("exact"), of(*CLASSES[:4]).alias("lenient"))
+    return classified.rollup(by).agg(F.count(F.lit(1)).alias("n"), of("exact").alias("exact"), of(*CLASSES[:4]).alias("lenient"), *times)
 
 
 def class_table(classified: DataFrame, by: str) -> DataFrame:
@@ -110,10 +141,19 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def scenario_rollup(rows: DataFrame) -> DataFrame:
-    """`scenario, verses, discovered, discovery_rate, coverage` of rows scenario, discovered, words_covered, words_total:
-    the mean coverage is over verses with words."""
+    """`scenario, verses, discovered, discovery_rate, coverage` of rows scenario, discovered, words_covered, words_total, and
+    with time_ms also `avg_ms, sum_ms`: the mean coverage is over verses with words."""
+    times = [F.avg("time_ms").alias("avg_ms"), F.sum("time_ms").alias("sum_ms")] if "time_ms" in rows.columns else []
     part = F.when(F.col("words_total") > 0, F.col("words_covered") / F.col("words_total"))
-    return rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("verses"), F.count_if("discovered").alias("discovered"), F.avg(F.col("discovered").cast("int")).alias("discovery_rate"), F.avg(part).alias("coverage"))
+    return rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("verses"), F.count_if("discovered").alias("discovered"), F.avg(F.col("discovered").cast("int")).alias("discovery_rate"), F.avg(part).alias("coverage"), *times)
+
+
+def clips_for(expected: DataFrame, clips: DataFrame) -> DataFrame:
+    """`scenario, place, surah, ayah, file`: the clips of expected references (scenario, pos, surah, ayah) in their order, those
+    without a clip left out; of several clips of a reference the first by name."""
+    one = clips.groupBy("surah", "ayah").agg(F.min("file").alias("file"))
+    place = F.row_number().over(Window.partitionBy("scenario").orderBy("pos")) - 1
+    return expected.join(one, ["surah", "ayah"]).select("scenario", place.alias("place"), "surah", "ayah", "file")
 
 
 def criteria(rows: DataFrame) -> DataFrame:

@@ -202,6 +202,33 @@ def ranked(scored: DataFrame) -> DataFrame:
     return placed.withColumn("best", F.first("total").over(order)).select("qid", "book", "idx", "surah", "ayah", "raw", "bonus", "total", "place", "best")
 
 
+# Surahs whose first verse is a few letters that are read one by one.
+LETTER_SURAHS = (2, 3, 7, 10, 11, 12, 13, 14, 15, 19, 20, 26, 27, 28, 29, 30, 31, 32, 36, 38, 40, 41, 42, 43, 44, 45, 46, 50, 68)
+#: Characters that a verse may have more than a short text; fewest verses of a book that are worth trying alone.
+SHORT_REACH, SHORT_LEAST = 5, 20
+
+
+def short_candidates(corpus: DataFrame) -> DataFrame:
+    """`n, book, idx`: the verses to try for texts of `n` characters without spaces, fewer than a trigram has: those hardly
+    longer, and first verses of letters; of a book that has fewer than SHORT_LEAST of them all verses. There are three
+    lengths, so whatever the number of texts they join these three sets by their length."""
+    of = corpus.select("book", "idx", "surah", "ayah", "ns", "no_bsm_ns", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    near = (F.length("ns") <= F.col("n") + SHORT_REACH) | ((F.col("ayah") == 1) & F.col("surah").isin(*LETTER_SURAHS)) | (F.length("no_bsm_ns") <= F.col("n") + SHORT_REACH)
+    marked = of.withColumn("near", F.coalesce(near, F.lit(False)))
+    enough = marked.groupBy("n", "book").agg((F.count_if("near") >= SHORT_LEAST).alias("enough"))
+    return marked.join(enough, ["n", "book"]).where("near OR NOT enough").select("n", "book", "idx")
+
+
+def runners_up(singles: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """`qid, runners`: the k best single verses of each transcript in order, as `score_candidates` ranks them, each with its
+    scores to three digits, the beginnings of its texts and its surah's name."""
+    about = corpus.select("book", "idx", tx.preview(F.col("norm")).alias("text"), tx.preview(F.coalesce("text_uthmani", F.lit("")), 80).alias("text_uthmani"), "surah_name", "surah_name_en")
+    top = singles.where(F.col("place") <= k).join(about, ["book", "idx"])
+    own = [tx.rounded(F.col(c), 3).alias(n) for c, n in (("total", "score"), ("raw", "raw_score"), ("bonus", "bonus"))]
+    each = F.struct("place", "book", "surah", "ayah", *own, "text", "text_uthmani", "surah_name", "surah_name_en")
+    return top.groupBy("qid").agg(F.array_sort(F.collect_list(each)).alias("runners"))
+
+
 def runs_of(corpus: DataFrame, span: int) -> DataFrame:
     """`book, surah, start, n, ayah, ayah_end, run_norm` of 2 to `span` consecutive verses of a surah; the first without
     its opening."""
@@ -274,18 +301,24 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def match_narrow(queries: DataFrame, corpus: DataFrame, ahead: int = 5, behind: int = 2, threshold: float = 0.35, profile: Profile = PRODUCT) -> DataFrame:
-    """`match` near a hint (hint_surah, hint_ayah): among the hinted verse, the `ahead` next of its book and the `behind`
-    ones before in its surah; a transcript without a hint, or without an answer there that reaches the threshold, is
-    matched against everything. The hinted verse comes first, then those ahead, then those before, where scores are equal.
-    """
+def match_near(queries: DataFrame, corpus: DataFrame, ahead: int = 5, behind: int = 2, threshold: float = 0.35, profile: Profile = PRODUCT) -> DataFrame:
+    """`match` of transcripts with a hint (hint_surah, hint_ayah) among the hinted verse, the `ahead` next of its book and the
+    `behind` ones before in its surah: answers that reach the threshold. Where scores are equal the hinted verse comes
+    first, then those ahead, then those before, and of books the first."""
     near = near_hint(queries, corpus, ahead, behind)
     prepared = queries.withColumn("q", tx.normalize(F.col("text"))).withColumn("qns", tx.no_spaces(F.col("q"))).where("q <> ''").withColumn("qwords", tx.words(F.col("q")))
     bonuses = cp.continuation_bonuses(prepared, corpus)
     pairs = near.join(prepared.select("qid", "q", "qns", "qwords"), "qid").join(corpus.select(*VERSE), ["book", "idx"]).join(bonuses, ["qid", "book", "surah", "ayah"], "left")
     scored = score_pairs(pairs.withColumn("bonus", F.coalesce("bonus", F.lit(0.0))), profile.partial)
-    best = scored.groupBy("qid").agg(F.max_by(F.struct("book", "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("total").alias("score"), "raw", "bonus"), F.struct("total", -F.col("rank"))).alias("m"))
-    answered = cut(best.select("qid", "m.*").where(F.col("score") >= threshold))  # a row a transcript; both branches need it
+    answer = F.struct("book", "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("total").alias("score"), "raw", "bonus")
+    first = scored.groupBy("qid", "book").agg(F.max_by(answer, F.struct("total", -F.col("rank"))).alias("m"), F.max(F.struct("total", (-F.col("rank")).alias("near"))).alias("k"))
+    best = first.groupBy("qid").agg(F.min_by("m", F.struct(-F.col("k.total"), -F.col("k.near"), "book")).alias("m"))
+    return best.select("qid", "m.*").where(F.col("score") >= threshold)
+
+
+def match_narrow(queries: DataFrame, corpus: DataFrame, ahead: int = 5, behind: int = 2, threshold: float = 0.35, profile: Profile = PRODUCT) -> DataFrame:
+    """`match_near`; a transcript without a hint, or without an answer there, is matched against everything."""
+    answered = cut(match_near(queries, corpus, ahead, behind, threshold, profile))  # a row a transcript; both branches need it
     rest = match(queries.join(answered, "qid", "left_anti"), corpus, Profile(**{**profile.__dict__, "threshold": threshold}))
     return answered.unionByName(rest)
 

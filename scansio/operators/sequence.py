@@ -12,6 +12,8 @@ from pyspark.sql.window import WindowSpec
 
 #: Milliseconds of the trailing window of rapid switching, and of the pause after a report.
 SWITCH_MS, COOLDOWN_MS = 10_000, 30_000
+#: Milliseconds after a verse is reached in which missing words say nothing.
+GRACE_MS = 2_000
 
 
 def _session() -> WindowSpec:
@@ -131,21 +133,35 @@ def contiguous_prefix(indices: Column) -> Column:
     return (F.when(gap == 0, F.size(own)).otherwise(gap - 1) - 1).cast("int")
 
 
-def skipped(indices: Column, prefix: Column, excluded: Column | None = None) -> Column:
-    """The places of the first gap, where at least two words lie beyond it and the prefix holds more than the first word."""
+def skipped(indices: Column, prefix: Column, excluded: Column | None = None, since_ms: Column | None = None) -> Column:
+    """The places of the first gap, where at least two words lie beyond it and the prefix holds more than the first word;
+    without `excluded` places, and none in the first GRACE_MS after the verse was reached, where `since_ms` is known."""
     beyond = F.filter(indices, lambda x: x > prefix + 1)
     gap = F.sequence(prefix + 1, F.array_min(beyond) - 1)
-    found = F.when((prefix >= 1) & (F.size(beyond) >= 2), gap)
+    settled = F.lit(True) if since_ms is None else F.coalesce(since_ms >= GRACE_MS, F.lit(True))
+    found = F.when((prefix >= 1) & (F.size(beyond) >= 2) & settled, gap)
     return F.array_except(found, excluded) if excluded is not None else found
 
 
+def _ms() -> Column:
+    return F.unix_millis(F.col("ts").cast("timestamp"))
+
+
+def first_on_page(m: DataFrame, pages: DataFrame) -> DataFrame:
+    """`session_id, edition, seq, page, first`: the page of each match in every edition that shows its verse (edition, surah,
+    ayah, page), and whether it is the first after another page or none."""
+    at = matches(m).select("session_id", "seq", "surah", "ayah").join(pages, ["surah", "ayah"])
+    before = F.lag("page").over(Window.partitionBy("session_id", "edition").orderBy("seq"))
+    return at.select("session_id", "edition", "seq", "page", F.coalesce(before != F.col("page"), F.lit(True)).alias("first"))
+
+
 def covered_words(m: DataFrame) -> DataFrame:
-    """`session_id, ref, run, indices, total` of progress: the words matched in each run of messages of one verse, and the
-    last total. A run ends where another verse is read."""
+    """`session_id, ref, run, indices, total, run_ms` of progress: the words matched in each run of messages of one verse, the
+    last total, and the time from its first to its last message. A run ends where another verse is read."""
     p = progress(m)
     new = F.when(F.lag("ref").over(_session()) == F.col("ref"), 0).otherwise(1)
     runs = p.withColumn("new", new).withColumn("run", F.sum("new").over(_session()))
-    each = runs.groupBy("session_id", "ref", "run").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_indices")))).alias("indices"), F.max_by("total_words", "seq").alias("total"))
+    each = runs.groupBy("session_id", "ref", "run").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_indices")))).alias("indices"), F.max_by("total_words", "seq").alias("total"), (F.max(_ms()) - F.min(_ms())).alias("run_ms"))
     return each
 
 

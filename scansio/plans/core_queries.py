@@ -16,6 +16,7 @@ from scansio.functions import score as sc
 from scansio.functions import signal as sg
 from scansio.functions import text as tx
 from scansio.operators import corpus as cp
+from scansio.operators import decoding as dc
 from scansio.operators import evaluation as ev
 from scansio.operators import layout as ly
 from scansio.operators import matching as mt
@@ -146,11 +147,13 @@ def _pairs(s, d) -> DataFrame:
 
 
 _PAIRS = f"(SELECT * FROM (SELECT verse_id, a, lead(a) OVER (PARTITION BY book ORDER BY idx) AS b FROM (SELECT verse_id, book, idx, {_fold('norm')} AS a FROM {CORPUS})) WHERE b IS NOT NULL)"
-_WORDS = f"(SELECT verse_id, string_split(a, ' ')[1] AS a, string_split(b, ' ')[1] AS b FROM {_PAIRS})"
+_PLACES = f"(SELECT verse_id, pos::INT AS pos, aw[pos + 1] AS a, bw[pos + 1] AS b FROM (SELECT *, unnest(range(least(len(aw), len(bw)))) AS pos FROM (SELECT verse_id, string_split(a, ' ') AS aw, string_split(b, ' ') AS bw FROM {_PAIRS})))"
 
 
-def _words(s, d) -> DataFrame:
-    return _pairs(s, d).select("verse_id", F.split("a", " ")[0].alias("a"), F.split("b", " ")[0].alias("b"))
+def _places(s, d) -> DataFrame:
+    """The words of both texts at every place that both have."""
+    zipped = F.posexplode(F.arrays_zip(F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))).alias("pos", "w")
+    return _pairs(s, d).select("verse_id", zipped).select("verse_id", "pos", "w.a", "w.b").where("a IS NOT NULL AND b IS NOT NULL")
 
 
 @query("lev_ratio_pairs", f"SELECT verse_id, levenshtein(a, b)::INT AS distance, {_R3(_ratio('a', 'b'))} AS ratio FROM {_PAIRS}")
@@ -158,25 +161,12 @@ def _(s, d):
     return _pairs(s, d).select("verse_id", F.levenshtein("a", "b").alias("distance"), tx.rounded(sc.ratio(F.col("a"), F.col("b")), 3).alias("ratio"))
 
 
-@query("word_match_pairs", f"""SELECT verse_id, {_R3(f"CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE {_ratio('a', 'b')} END")} AS similarity, a = b OR (length(a) > 2 AND length(b) > 2 AND {_ratio('a', 'b')} >= 0.7) AS matches FROM {_WORDS}""")
+@query("fragment_score_pairs", f"""SELECT verse_id, pos, min(x)::INT AS distance, {_R3("CASE WHEN length(any_value(a)) = 0 THEN 1.0 ELSE greatest(0.0, 1 - min(x)::DOUBLE / length(any_value(a))) END")} AS fragment FROM
+    (SELECT verse_id, pos, a, least(length(a), levenshtein(a, substr(b, p, n))) AS x FROM (SELECT *, unnest(range(0, length(b) - p + 2)) AS n FROM (SELECT *, unnest(range(1, length(b) + 2)) AS p FROM {_PLACES}))) GROUP BY verse_id, pos""")
 def _(s, d):
-    a, b = F.col("a"), F.col("b")
-    return _words(s, d).select("verse_id", tx.rounded(sc.word_similarity(a, b), 3).alias("similarity"), sc.words_match(a, b).alias("matches"))
-
-
-_SHORT = f"(SELECT verse_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {_WORDS})"
-
-
-@query("partial_ratio_best", f"SELECT verse_id, {_R3('max(r)')} AS best FROM (SELECT verse_id, CASE WHEN s = '' THEN 0.0 ELSE {_ratio('s', 'w')} END AS r FROM (SELECT verse_id, s, substr(l, p, length(s)) AS w FROM (SELECT *, unnest(range(1, length(l) - length(s) + 2)) AS p FROM {_SHORT}))) GROUP BY verse_id")
-def _(s, d):
-    return _words(s, d).select("verse_id", tx.rounded(sc.partial_ratio(F.col("a"), F.col("b")), 3).alias("best"))
-
-
-@query("fragment_score_pairs", f"""SELECT verse_id, min(x)::INT AS distance, {_R3("CASE WHEN length(any_value(a)) = 0 THEN 1.0 ELSE greatest(0.0, 1 - min(x)::DOUBLE / length(any_value(a))) END")} AS fragment FROM
-    (SELECT verse_id, a, least(length(a), levenshtein(a, substr(b, p, n))) AS x FROM (SELECT *, unnest(range(0, length(b) - p + 2)) AS n FROM (SELECT *, unnest(range(1, length(b) + 2)) AS p FROM {_WORDS}))) GROUP BY verse_id""")
-def _(s, d):
-    w = _words(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id")
-    return w.select("verse_id", sc.semi_global(F.col("a"), F.col("b")).alias("distance"), tx.rounded(sc.fragment(F.col("a"), F.col("b")), 3).alias("fragment"))
+    """Every word of a text within the word at its place of the next."""
+    w = _places(s, d).repartition(s.sparkContext.defaultParallelism, "verse_id")
+    return w.select("verse_id", "pos", sc.semi_global(F.col("a"), F.col("b")).alias("distance"), tx.rounded(sc.fragment(F.col("a"), F.col("b")), 3).alias("fragment"))
 
 
 @query("shared_prefix", f"""SELECT verse_id, coalesce(min(CASE WHEN x <> y THEN i END), least(max(n), max(m)))::BIGINT AS shared FROM
@@ -198,7 +188,7 @@ def _(s, d):
     return p.select("verse_id", tx.rounded(F.col("m.score"), 3).alias("score"), "m.start", "m.end")
 
 
-# The same scores over whole texts; `word_match_pairs`, `partial_ratio_best` and `fragment_score_pairs` are those of the first words.
+# Scores over whole texts.
 
 
 @query("word_match_places", f"""SELECT verse_id, pos::INT AS pos, {_R3(f"CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE {_ratio('a', 'b')} END")} AS similarity, a = b OR (length(a) > 2 AND length(b) > 2 AND {_ratio('a', 'b')} >= 0.7) AS matches FROM
@@ -371,19 +361,48 @@ def _(s, d):
 
 
 def _predictions(s, d) -> DataFrame:
-    """The first match of any session to each sample's file number stands for a recogniser's answer."""
-    first = load(s, d, "messages").where("msg_type = 'verse_match' AND surah IS NOT NULL AND ayah IS NOT NULL").groupBy("surah").agg(F.min_by(F.struct("ayah", "confidence"), "msg_id").alias("m"))
-    return load(s, d, "benchmark_samples").select(F.col("sample_id").alias("qid"), "surah").join(first, "surah").select("qid", "surah", F.col("m.ayah").alias("ayah"), (F.col("m.ayah") + 1).alias("ayah_end"), F.col("m.confidence").alias("score"))
+    """The first match of any session to each sample's surah stands for a recogniser's answer, and how long it was on its way
+    for the time it took."""
+    took = F.unix_millis(F.col("arrived_at").cast("timestamp")) - F.unix_millis(F.col("ts").cast("timestamp"))
+    first = load(s, d, "messages").where("msg_type = 'verse_match' AND surah IS NOT NULL AND ayah IS NOT NULL").groupBy("surah").agg(F.min_by(F.struct("ayah", "confidence", took.alias("time_ms")), "msg_id").alias("m"))
+    return load(s, d, "benchmark_samples").select(F.col("sample_id").alias("qid"), "surah").join(first, "surah").select("qid", "surah", F.col("m.ayah").alias("ayah"), (F.col("m.ayah") + 1).alias("ayah_end"), F.col("m.confidence").alias("score"), F.col("m.time_ms").alias("time_ms"))
+
+
+def _folded_corpus(s, d) -> DataFrame:
+    c = cp.build(_verses(s, d)).withColumns({"norm": folded(F.col("norm")), "no_bsm": folded(F.col("no_bsm"))})
+    return c.withColumns({"ns": tx.no_spaces(F.col("norm")), "no_bsm_ns": tx.no_spaces(F.col("no_bsm")), "words": tx.words(F.col("norm"))})
+
 
+def _equivalents(s, d) -> DataFrame:
+    c = _folded_corpus(s, d)
+    return cp.equivalent_refs(c).unionByName(ev.similar_refs(load(s, d, "benchmark_samples"), _predictions(s, d), c)).distinct()
 
-_PRED = "(SELECT sample_id AS qid, surah, m.ayah AS p_ayah, m.ayah + 1 AS p_end FROM benchmark_samples JOIN (SELECT surah, min_by({'ayah': ayah}, msg_id) AS m FROM messages WHERE msg_type = 'verse_match' AND surah IS NOT NULL AND ayah IS NOT NULL GROUP BY surah) USING (surah))"
-_CLASS = f"""(SELECT s.sample_id AS qid, category, source, e.surah AS surah, e.ayah AS ayah, CASE WHEN p_ayah IS NULL THEN 'no_match' WHEN e.surah = p.surah AND e.ayah BETWEEN p_ayah AND p_end THEN 'exact'
-    WHEN e.surah = p.surah AND abs(e.ayah - p_ayah) <= 1 THEN 'within1' WHEN e.surah = p.surah AND abs(e.ayah - p_ayah) <= 2 THEN 'within2' WHEN e.surah = p.surah THEN 'same_surah' ELSE 'wrong' END AS class
-    FROM (SELECT *, expected_verses[1] AS e FROM benchmark_samples WHERE len(expected_verses) > 0) s LEFT JOIN {_PRED} p ON p.qid = s.sample_id)"""
+
+_EQ_FORMS = f"(SELECT DISTINCT book, surah, ayah, form FROM (SELECT book, surah, ayah, {_fold('norm')} AS form FROM {CORPUS} UNION ALL SELECT book, surah, ayah, {_fold('no_bsm')} FROM {CORPUS}) WHERE form <> '')"
+_EQ_TEXT = f"(SELECT book, surah, ayah, replace({_fold('coalesce(no_bsm, norm)')}, ' ', '') AS x FROM {CORPUS})"
+_PRED = "(SELECT sample_id AS qid, surah, m.ayah AS p_ayah, m.ayah + 1 AS p_end, m.t AS time_ms FROM benchmark_samples JOIN (SELECT surah, min_by({'ayah': ayah, 't': epoch_us(arrived_at) // 1000 - epoch_us(ts) // 1000}, msg_id) AS m FROM messages WHERE msg_type = 'verse_match' AND surah IS NOT NULL AND ayah IS NOT NULL GROUP BY surah) USING (surah))"
+_ASKED_REFS = f"(SELECT DISTINCT s.surah, s.ayah, p_ayah AS other_ayah FROM (SELECT sample_id, unnest(expected_verses).surah AS surah, unnest(expected_verses).ayah AS ayah FROM benchmark_samples) s JOIN {_PRED} p ON p.qid = s.sample_id AND p.surah = s.surah WHERE s.ayah <> p_ayah)"
+_EQ = f"""(SELECT DISTINCT a.surah, a.ayah, b.ayah AS other_ayah FROM {_EQ_FORMS} a JOIN {_EQ_FORMS} b ON a.book = b.book AND a.surah = b.surah AND a.form = b.form AND a.ayah <> b.ayah
+    UNION SELECT r.surah, r.ayah, r.other_ayah FROM {_ASKED_REFS} r JOIN {_EQ_TEXT} a ON a.surah = r.surah AND a.ayah = r.ayah JOIN {_EQ_TEXT} b ON b.book = a.book AND b.surah = r.surah AND b.ayah = r.other_ayah WHERE {_ratio('a.x', 'b.x')} > 0.95)"""
+_CLASS = f"""(SELECT s.sample_id AS qid, category, source, e.surah AS surah, e.ayah AS ayah, CASE WHEN p_ayah IS NULL THEN 'no_match' WHEN e.surah = p.surah AND e.ayah BETWEEN p_ayah AND p_end THEN 'exact' WHEN e.surah = p.surah AND eq.surah IS NOT NULL THEN 'equivalent'
+    WHEN e.surah = p.surah AND abs(e.ayah - p_ayah) <= 1 THEN 'within1' WHEN e.surah = p.surah AND abs(e.ayah - p_ayah) <= 2 THEN 'within2' WHEN e.surah = p.surah THEN 'same_surah' ELSE 'wrong' END AS class, time_ms
+    FROM (SELECT *, expected_verses[1] AS e FROM benchmark_samples WHERE len(expected_verses) > 0) s LEFT JOIN {_PRED} p ON p.qid = s.sample_id LEFT JOIN {_EQ} eq ON eq.surah = e.surah AND eq.ayah = e.ayah AND eq.other_ayah = p_ayah)"""
+
+
+@query("equivalent_refs", f"SELECT *, surah AS other_surah FROM {_EQ}")
+def _(s, d):
+    return _equivalents(s, d)
+
+
+@query("eval_five", f"""SELECT sample_id AS qid, category, source, ['correct', 'equiv', 'adjacent', 'wrong', 'no_match'][min(r) + 1] AS class FROM (SELECT s.*, CASE WHEN p.qid IS NULL THEN 4 WHEN s.surah <> p.surah THEN 3 WHEN s.ayah BETWEEN p_ayah AND p_end THEN 0
+    WHEN eq.surah IS NOT NULL THEN 1 WHEN abs(s.ayah - p_ayah) <= 1 OR abs(s.ayah - p_end) <= 1 THEN 2 ELSE 3 END AS r FROM (SELECT sample_id, category, source, unnest(expected_verses).surah AS surah, unnest(expected_verses).ayah AS ayah FROM benchmark_samples) s
+    LEFT JOIN {_PRED} p ON p.qid = s.sample_id LEFT JOIN {_EQ} eq ON eq.surah = s.surah AND eq.ayah = s.ayah AND eq.other_ayah = p_ayah) GROUP BY ALL""")
+def _(s, d):
+    return ev.classify_five(load(s, d, "benchmark_samples"), _predictions(s, d), _equivalents(s, d))
 
 
 def _classified(s, d) -> DataFrame:
-    return ev.classify(load(s, d, "benchmark_samples"), _predictions(s, d))
+    return ev.classify(load(s, d, "benchmark_samples"), _predictions(s, d), _equivalents(s, d))
 
 
 @query("eval_classify", f"SELECT * FROM {_CLASS}")
@@ -395,9 +414,9 @@ _EXACT = "avg((class = 'exact')::INT)"
 _LENIENT = "('exact', 'equivalent', 'within1', 'within2')"
 
 
-@query("eval_by_category", f"SELECT category, count(*) AS n, {_R3(_EXACT, 4)} AS exact, {_R3(f'avg((class IN {_LENIENT})::INT)', 4)} AS lenient FROM {_CLASS} GROUP BY ROLLUP (category)")
+@query("eval_by_category", f"SELECT category, count(*) AS n, {_R3(_EXACT, 4)} AS exact, {_R3(f'avg((class IN {_LENIENT})::INT)', 4)} AS lenient, {_R3('avg(time_ms)')} AS avg_ms FROM {_CLASS} GROUP BY ROLLUP (category)")
 def _(s, d):
-    return ev.accuracy(_classified(s, d), "category").withColumns({n: tx.rounded(F.col(n), 4) for n in ("exact", "lenient")})
+    return ev.accuracy(_classified(s, d), "category").withColumns({n: tx.rounded(F.col(n), k) for n, k in (("exact", 4), ("lenient", 4), ("avg_ms", 3))})
 
 
 @query("eval_by_source", f"SELECT source, count(*) AS n, {_R3(f'avg((class IN {_LENIENT})::INT)', 4)} AS lenient FROM {_CLASS} GROUP BY ROLLUP (source)")
@@ -513,7 +532,7 @@ def _(s, d):
     return sq.last_transcripts(_messages(s, d))
 
 
-_RUNS = f"""(SELECT session_id, ref, run::BIGINT AS run, list_sort(list_distinct(flatten(list(matched_indices) FILTER (matched_indices IS NOT NULL)))) AS indices, max_by(total_words, seq) AS total FROM
+_RUNS = f"""(SELECT session_id, ref, run::BIGINT AS run, list_sort(list_distinct(flatten(list(matched_indices) FILTER (matched_indices IS NOT NULL)))) AS indices, max_by(total_words, seq) AS total, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS run_ms FROM
     (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(ref) OVER (PARTITION BY session_id ORDER BY seq) = ref THEN 0 ELSE 1 END AS new FROM {PROGRESS})) GROUP BY ALL)"""
 _PREFIX_OF = f"(SELECT *, (coalesce((SELECT min(i) FROM range(0, len(coalesce(indices, [])) + 1) t(i) WHERE NOT list_contains(coalesce(indices, []), i)), 0) - 1)::INT AS prefix FROM {_RUNS})"
 
@@ -524,10 +543,10 @@ def _(s, d):
     return r.select("session_id", "ref", "run", "total", sq.contiguous_prefix(F.col("indices")).alias("prefix"))
 
 
-@query("skipped_words", f"""SELECT session_id, ref, run, unnest(range(prefix + 1, list_min(beyond))) AS word FROM (SELECT *, list_filter(indices, lambda x: x > prefix + 1) AS beyond FROM {_PREFIX_OF}) WHERE prefix >= 1 AND len(beyond) >= 2""")
+@query("skipped_words", f"""SELECT session_id, ref, run, unnest(range(prefix + 1, list_min(beyond))) AS word FROM (SELECT *, list_filter(indices, lambda x: x > prefix + 1) AS beyond FROM {_PREFIX_OF}) WHERE prefix >= 1 AND len(beyond) >= 2 AND coalesce(run_ms >= {sq.GRACE_MS}, true)""")
 def _(s, d):
     r = sq.covered_words(_messages(s, d)).withColumn("prefix", sq.contiguous_prefix(F.col("indices")))
-    return r.select("session_id", "ref", "run", F.explode(sq.skipped(F.col("indices"), F.col("prefix")).cast("array<bigint>")).alias("word"))
+    return r.select("session_id", "ref", "run", F.explode(sq.skipped(F.col("indices"), F.col("prefix"), since_ms=F.col("run_ms")).cast("array<bigint>")).alias("word"))
 
 
 @query("word_coverage", f"""SELECT session_id, ref, coalesce(words, 0) AS words, total, {_R3("CASE WHEN total > 0 THEN least(coalesce(words, 0) / total, 1.0) END", 4)} AS coverage FROM
@@ -536,14 +555,16 @@ def _(s, d):
     return sq.word_coverage(_messages(s, d)).withColumn("coverage", tx.rounded(F.col("coverage"), 4))
 
 
-@query("scenario_rollup", f"""SELECT scenario, count(*) AS verses, count(*) FILTER (discovered) AS discovered, {_R3("avg(discovered::INT)", 4)} AS discovery_rate, {_R3("avg(CASE WHEN total > 0 THEN coalesce(words, 0) / total END)", 4)} AS coverage FROM
-    (SELECT p.surah AS scenario, m.ref IS NOT NULL AS discovered, total, words FROM (SELECT session_id, surah, ref, max_by(total_words, seq) AS total FROM {PROGRESS} GROUP BY ALL) p
+@query("scenario_rollup", f"""SELECT scenario, count(*) AS verses, count(*) FILTER (discovered) AS discovered, {_R3("avg(discovered::INT)", 4)} AS discovery_rate, {_R3("avg(CASE WHEN total > 0 THEN coalesce(words, 0) / total END)", 4)} AS coverage, {_R3("avg(ms)")} AS avg_ms, sum(ms)::BIGINT AS sum_ms FROM
+    (SELECT p.surah AS scenario, m.ref IS NOT NULL AS discovered, total, words, ms FROM (SELECT session_id, surah, ref, max_by(total_words, seq) AS total, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS ms FROM {PROGRESS} GROUP BY ALL) p
     LEFT JOIN (SELECT session_id, ref, count(DISTINCT i) AS words FROM (SELECT session_id, ref, unnest(matched_indices) AS i FROM {PROGRESS}) GROUP BY ALL) USING (session_id, ref) LEFT JOIN (SELECT DISTINCT session_id, ref FROM {MATCHES}) m USING (session_id, ref)) GROUP BY scenario""")
 def _(s, d):
     m = _messages(s, d)
     hit = sq.matches(m).select("session_id", "ref", F.lit(True).alias("discovered")).distinct()
-    rows = sq.word_coverage(m).join(hit, ["session_id", "ref"], "left").select(tx.key_part(F.col("ref"), 0).alias("scenario"), F.coalesce("discovered", F.lit(False)).alias("discovered"), F.col("words").alias("words_covered"), F.col("total").alias("words_total"))
-    return ev.scenario_rollup(rows).withColumns({n: tx.rounded(F.col(n), 4) for n in ("discovery_rate", "coverage")})
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    took = sq.progress(m).groupBy("session_id", "ref").agg((F.max(ms) - F.min(ms)).alias("time_ms"))
+    rows = sq.word_coverage(m).join(hit, ["session_id", "ref"], "left").join(took, ["session_id", "ref"]).select("time_ms", tx.key_part(F.col("ref"), 0).alias("scenario"), F.coalesce("discovered", F.lit(False)).alias("discovered"), F.col("words").alias("words_covered"), F.col("total").alias("words_total"))
+    return ev.scenario_rollup(rows).withColumns({n: tx.rounded(F.col(n), k) for n, k in (("discovery_rate", 4), ("coverage", 4), ("avg_ms", 3))})
 
 
 @query("criteria", f"""SELECT 'order' AS scenario, count(*) FILTER (pass) AS passed, count(*) AS n, bool_and(pass) AS all_pass, bool_or(pass) AS any_pass FROM
@@ -598,11 +619,11 @@ def _(s, d):
     return r.groupBy("surah").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("audio_size_bytes") > 0).alias("with_audio"), F.max("sent_at").alias("newest"))
 
 
-@query("sample_rms", f"SELECT vec_id, {_R3('sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding))')} AS rms, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding)) < 0.005 AS silent, list_sum(list_transform(embedding, lambda x: trunc(CASE WHEN x < 0 THEN greatest(x::DOUBLE, -1.0) * 32768 ELSE least(x::DOUBLE, 1.0) * 32767 END)::BIGINT))::BIGINT AS int_sum, len(embedding[-16:])::INT AS tail FROM embeddings")
+@query("sample_rms", f"SELECT vec_id, {_R3('sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding))')} AS rms, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding)) < 0.005 AS silent, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding)) > 0.01 AS sounds, list_sum(list_transform(embedding, lambda x: trunc(CASE WHEN x < 0 THEN greatest(x::DOUBLE, -1.0) * 32768 ELSE least(x::DOUBLE, 1.0) * 32767 END)::BIGINT))::BIGINT AS int_sum, len(embedding[-16:])::INT AS tail FROM embeddings")
 def _(s, d):
     e, x = load(s, d, "embeddings"), F.col("embedding")
     total = F.aggregate(sg.to_int16(x), F.lit(0).cast("long"), lambda a, v: a + v)
-    return e.select("vec_id", tx.rounded(sg.rms(x), 3).alias("rms"), sg.is_silence(x).alias("silent"), total.alias("int_sum"), F.size(sg.tail(x, 16)).alias("tail"))
+    return e.select("vec_id", tx.rounded(sg.rms(x), 3).alias("rms"), sg.is_silence(x).alias("silent"), sg.is_sound(x).alias("sounds"), total.alias("int_sum"), F.size(sg.tail(x, 16)).alias("tail"))
 
 
 # --- layouts ------------------------------------------------------------------------------------------------------------
@@ -634,3 +655,73 @@ def _(s, d):
     v = ly.page_verses(p)
     last = v.groupBy("page_id").agg(F.max_by(F.struct("surah", "ayah"), "place").alias("m")).select("page_id", "m.surah", "m.ayah")
     return ly.prior_verses(p, last, v.where("place % 2 = 0"))
+
+
+@query("first_on_page", f"""SELECT session_id, edition, seq, page, coalesce(lag(page) OVER (PARTITION BY session_id, edition ORDER BY seq) <> page, true) AS first FROM {MATCHES} JOIN (SELECT edition, surah, ayah, min(page) AS page FROM {_PLACED} GROUP BY ALL) USING (surah, ayah)""")
+def _(s, d):
+    return sq.first_on_page(_messages(s, d), ly.verse_pages(load(s, d, "mushaf_pages")))
+
+
+@query("surah_list", f"SELECT book, surah, surah_name, (row_number() OVER (PARTITION BY book ORDER BY idx) - 1)::INT AS place FROM (SELECT book, surah, min(idx) AS idx, arg_min(surah_name, idx) AS surah_name FROM (SELECT book, surah, idx, surah_name FROM {CORPUS} QUALIFY row_number() OVER (PARTITION BY book, surah ORDER BY idx) = 1) GROUP BY book, surah)")
+def _(s, d):
+    return cp.surah_list(cp.base(_verses(s, d)))
+
+
+_LETTERS = ", ".join(map(str, mt.LETTER_SURAHS))
+
+
+@query("short_candidates", f"""SELECT n::INT AS n, book, idx FROM (SELECT *, count(*) FILTER (near) OVER (PARTITION BY n, book) AS found FROM
+    (SELECT n, book, idx, coalesce(length(ns) <= n + 5 OR (ayah = 1 AND surah IN ({_LETTERS})) OR length(replace(no_bsm, ' ', '')) <= n + 5, false) AS near FROM {CORPUS}, range(3) t(n))) WHERE near OR found < 20""")
+def _(s, d):
+    return mt.short_candidates(cp.build(_verses(s, d)))
+
+
+@query("clips_for", """SELECT scenario, (row_number() OVER (PARTITION BY scenario ORDER BY pos) - 1)::INT AS place, surah, ayah, file FROM (SELECT sample_id AS scenario, unnest(range(len(expected_verses))) AS pos, unnest(expected_verses).surah AS surah, unnest(expected_verses).ayah AS ayah FROM benchmark_samples)
+    JOIN (SELECT surah, ayah, min(file) AS file FROM benchmark_samples WHERE ayah_end IS NULL GROUP BY ALL) USING (surah, ayah)""")
+def _(s, d):
+    b = load(s, d, "benchmark_samples")
+    return ev.clips_for(ev.expected_rows(b).withColumnRenamed("qid", "scenario"), b.where("ayah_end IS NULL"))
+
+
+# --- several answers to one question ----------------------------------------------------------------------------------------
+
+_ANSWERS = f"(SELECT session_id AS qid, seq AS hyp, surah, ayah, confidence AS score FROM {MATCHES} WHERE confidence IS NOT NULL)"
+
+
+def _answers(s, d) -> DataFrame:
+    """The matches of a session as hypotheses in their order."""
+    return sq.matches(_messages(s, d)).where("confidence IS NOT NULL").select(F.col("session_id").alias("qid"), F.col("seq").alias("hyp"), "surah", "ayah", F.lit(None).cast("int").alias("ayah_end"), F.col("confidence").alias("score"))
+
+
+@query("best_hypothesis", f"SELECT qid, hyp, surah, ayah, score FROM {_ANSWERS} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, hyp) = 1")
+def _(s, d):
+    return dc.best_hypothesis(_answers(s, d)).drop("ayah_end")
+
+
+_FIRST = f"(SELECT * FROM {_ANSWERS} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hyp) = 1)"
+_LAST = f"(SELECT * FROM {_ANSWERS} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hyp DESC) = 1)"
+
+
+def _first_last(s, d) -> tuple[DataFrame, DataFrame]:
+    """The first and the last match of a session stand for a cheap and a costly pass."""
+    answers = _answers(s, d)
+    one = lambda pick: answers.groupBy("qid").agg(pick(F.struct("hyp", "surah", "ayah", "ayah_end", "score"), "hyp").alias("m")).select("qid", "m.*")
+    return one(F.min_by), one(F.max_by)
+
+
+@query("better_of", f"SELECT qid, CASE WHEN b THEN l.surah ELSE f.surah END AS surah, CASE WHEN b THEN l.ayah ELSE f.ayah END AS ayah, CASE WHEN b THEN l.score ELSE f.score END AS score FROM (SELECT *, f.score < 0.85 AND l.score > f.score + 0.05 AS b FROM {_FIRST} f JOIN {_LAST} l USING (qid))".replace("SELECT *, f.score", "SELECT qid, f, l, f.score"))
+def _(s, d):
+    return ev.better_of(*_first_last(s, d)).drop("ayah_end")
+
+
+@query("gated", f"SELECT qid, surah, ayah, score FROM {_FIRST} WHERE score >= 0.7 UNION ALL SELECT l.qid, l.surah, l.ayah, l.score FROM {_LAST} l JOIN {_FIRST} f USING (qid) WHERE f.score < 0.7")
+def _(s, d):
+    first, last = _first_last(s, d)
+    return dc.gated(first, lambda low: last.join(low.select("qid"), "qid", "left_semi").select(first.columns)).select("qid", "surah", "ayah", "score")
+
+
+@query("full_clip", """SELECT c.file, c.type, c.surah, c.ayah, f.file AS full_file FROM (SELECT file, CASE source WHEN 'everyayah' THEN 'full' ELSE 'first60' END AS type, surah, ayah FROM benchmark_samples) c
+    LEFT JOIN (SELECT surah, ayah, min(file) AS file FROM benchmark_samples WHERE source = 'everyayah' GROUP BY ALL) f ON f.surah = c.surah AND f.ayah = c.ayah WHERE c.type <> 'full'""")
+def _(s, d):
+    kind = F.when(F.col("source") == "everyayah", "full").otherwise("first60")
+    return ev.full_clip(load(s, d, "benchmark_samples").select("file", kind.alias("type"), "surah", "ayah"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scansio.plans import core_queries, nested_queries
+from scansio.plans import core_queries, matching_queries, nested_queries
 
-MODULES = [core_queries, nested_queries]
+MODULES = [core_queries, matching_queries, nested_queries]
 
 
 def queries() -> dict:

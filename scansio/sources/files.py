@@ -47,6 +47,11 @@ def metas(spark: SparkSession, path: str, schema: str = REPORT) -> DataFrame:
     return spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True).where("_broken IS NULL AND id IS NOT NULL").drop("_broken")
 
 
+def diagnostics_list(spark: SparkSession, path: str) -> DataFrame:
+    """The diagnostics of a folder without their events: `id, trigger, event_count, timestamp, userAgent, hasAudio`."""
+    return metas(spark, path, DIAGNOSTIC).select("id", "trigger", F.coalesce(F.size("events"), F.lit(0)).alias("event_count"), "timestamp", "userAgent", "hasAudio")
+
+
 def newest_first(reports: DataFrame) -> DataFrame:
     return reports.withColumn("at", F.try_to_timestamp("timestamp")).orderBy(F.desc_nulls_last("at"), "id")
 

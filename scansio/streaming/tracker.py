@@ -57,6 +57,10 @@ class State:
     deferrals: int = 0
     seq: int = -1
 
+    def forget(self) -> None:
+        """As before the first chunk, but for what tells late rows."""
+        self.__dict__.update(State(seq=self.seq).__dict__)
+
     def dump(self) -> str:
         return json.dumps(asdict(self) | {"sound": base64.b64encode(self.sound.tobytes()).decode()})
 
@@ -254,10 +258,13 @@ COLUMNS = ["session_id", "seq", "n", "type", "surah", "ayah", "confidence", "wor
 
 def _rows(tracker: Tracker, s: State, session: int, chunks: Iterator[tuple]) -> list[dict]:
     out = []
-    for seq, samples, text in chunks:
+    for seq, samples, text, *reset in chunks:
         if seq <= s.seq:
             continue
         s.seq = seq
+        if reset and reset[0] is not None and bool(reset[0]):
+            s.forget()
+            continue
         for n, message in enumerate(tracker.step(s, np.asarray(samples, np.float32), text)):
             out.append({"session_id": session, "seq": seq, "n": n, **message})
     return out
@@ -274,8 +281,9 @@ def last_text(_: np.ndarray, text: str | None) -> str:
 
 
 def track(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text) -> DataFrame:
-    """The messages of sessions `session_id, seq, samples, text` (or `n_samples, level` for samples), in MESSAGE's columns. A session's rows pass in order
-    through one task, batch by batch; only its state is held, never its rows."""
+    """The messages of sessions `session_id, seq, samples, text` (or `n_samples, level` for samples), in MESSAGE's columns. A
+    chunk with a true `reset`, where there is such a column, makes its session begin anew and brings no sound. A session's
+    rows pass in order through one task, batch by batch; only its state is held, never its rows."""
     shared = chunks.sparkSession.sparkContext.broadcast(index)  # at most MOST_VERSES verses
 
     sounds = ["samples"] if "samples" in chunks.columns else ["n_samples", "level"]
@@ -287,15 +295,21 @@ def track(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_
             for own, part in pdf.groupby("session_id", sort=False):
                 if own != session:
                     s, session = State(), own
-                rows += _rows(tracker, s, own, zip(part["seq"], _sounds(part), part["text"]))
+                rows += _rows(tracker, s, own, _chunks(part))
             yield _frame(rows)
 
-    ordered = chunks.select("session_id", "seq", *sounds, "text").where("session_id IS NOT NULL AND seq IS NOT NULL")
+    resets = [c for c in ("reset",) if c in chunks.columns]
+    ordered = chunks.select("session_id", "seq", *sounds, "text", *resets).where("session_id IS NOT NULL AND seq IS NOT NULL")
     # The work is in Python, which the sizes of partitions don't tell: their number is fixed, so that none are merged.
     parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.sparkSession.sparkContext.defaultParallelism)
     return ordered.repartition(parts, "session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, MESSAGE)
 
 
+def _chunks(part: pd.DataFrame) -> Iterator[tuple]:
+    """`seq, samples, text` of chunks, and `reset` where it is given."""
+    return zip(part["seq"], _sounds(part), part["text"], *[part[c] for c in ("reset",) if c in part])
+
+
 def _sounds(part: pd.DataFrame) -> Iterator[np.ndarray]:
     """The samples of chunks, or even ones of a level where only that and their number are given."""
     if "samples" in part:
@@ -347,15 +361,21 @@ def track_books(chunks: DataFrame, corpus: DataFrame, transcribe: Transcribe = l
     return both.mapInPandas(run, f"book string, {MESSAGE}")
 
 
-def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text) -> DataFrame:
-    """The same over a stream: state is kept by session, each micro-batch is taken in the order of `seq`."""
+def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text, idle_ms: int = 1_800_000) -> DataFrame:
+    """The same over a stream: state is kept by session, each micro-batch is taken in the order of `seq`. A session of which
+    nothing comes for `idle_ms` is over and its state is removed; what comes later begins anew."""
     shared = chunks.sparkSession.sparkContext.broadcast(index)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield _frame([])
+            return
         s = State.load(state.get[0]) if state.exists else State()
-        rows = sorted((r for pdf in batches for r in zip(pdf["seq"], _sounds(pdf), pdf["text"])), key=lambda r: r[0])
+        rows = sorted((r for pdf in batches for r in _chunks(pdf)), key=lambda r: r[0])
         out = _rows(Tracker(shared.value, transcribe), s, key[0], iter(rows))
         state.update((s.dump(),))
+        state.setTimeoutDuration(idle_ms)
         yield _frame(out)
 
-    return chunks.groupBy("session_id").applyInPandasWithState(run, MESSAGE, "state string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("session_id").applyInPandasWithState(run, MESSAGE, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
