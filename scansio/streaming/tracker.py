@@ -344,12 +344,13 @@ def track_books(chunks: DataFrame, corpus: DataFrame, transcribe: Transcribe = l
                     tracker = Tracker(PassageIndex(verses), transcribe)
                 if who != session:
                     s, session = State(), who
-                got = _frame(_rows(tracker, s, int(who), zip(part["seq"].astype("int64"), _sounds(part), part["text"])))
+                got = _frame(_rows(tracker, s, int(who), _chunks(part.assign(seq=part["seq"].astype("int64")))))
                 got.insert(0, "book", own)
                 frames.append(got)
             if frames:
                 yield pd.concat(frames)
 
+    sounds += [c for c in ("reset",) if c in chunks.columns]
     heard = chunks.select("session_id", "seq", *sounds, "text").where("session_id IS NOT NULL AND seq IS NOT NULL")
     part = F.pmod(F.xxhash64("session_id"), F.lit(SPLIT)).cast("int")
     asked = heard.crossJoin(F.broadcast(corpus.select("book").distinct())).select("book", part.alias("part"), F.lit(True).alias("is_chunk"), "session_id", "seq", *sounds, "text")
@@ -361,9 +362,12 @@ def track_books(chunks: DataFrame, corpus: DataFrame, transcribe: Transcribe = l
     return both.mapInPandas(run, f"book string, {MESSAGE}")
 
 
-def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text, idle_ms: int = 1_800_000) -> DataFrame:
-    """The same over a stream: state is kept by session, each micro-batch is taken in the order of `seq`. A session of which
-    nothing comes for `idle_ms` is over and its state is removed; what comes later begins anew."""
+def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe = last_text, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream: state is kept by session, each micro-batch is taken in the order of `seq`.
+
+    With `idle_ms` a session of which nothing comes for so long is over and its state is removed; what comes later begins
+    anew. A stream that runs on should have it, or its state grows with every session; one that ends with its input
+    (`availableNow`) must not, as Spark then goes on to wait for sessions to end."""
     shared = chunks.sparkSession.sparkContext.broadcast(index)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -375,7 +379,8 @@ def track_stream(chunks: DataFrame, index: PassageIndex, transcribe: Transcribe
         rows = sorted((r for pdf in batches for r in _chunks(pdf)), key=lambda r: r[0])
         out = _rows(Tracker(shared.value, transcribe), s, key[0], iter(rows))
         state.update((s.dump(),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield _frame(out)
 
-    return chunks.groupBy("session_id").applyInPandasWithState(run, MESSAGE, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("session_id").applyInPandasWithState(run, MESSAGE, "state string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

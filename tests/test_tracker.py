@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,39 @@ def test_stream_agrees_with_batch(spark, sf, index, tmp_path):
     q.awaitTermination()
     got = sorted(map(str, spark.table("tracked").select(*names).collect()))
     assert want and len(got) == len(want) and got == want
+
+
+CHUNK = "session_id long, seq long, n_samples int, level double, text string, reset boolean"
+
+
+def test_a_reset_begins_anew(spark, index):
+    v = next(v for v in index.verses if 6 <= len(v.words) <= 9 and v.no_bsm is None)
+    said = lambda seq, n, reset=None: (1, seq, n, 0.1, v.norm, reset)
+    follow = [said(i, tk.FOLLOW_CYCLE) for i in (1, 2, 3)]
+    plain = [said(0, tk.SEEK_CYCLE), *follow]
+    kinds = lambda rows: [(r.seq, r.type) for r in tk.track(spark.createDataFrame(rows, CHUNK), index).orderBy("seq", "n").collect()]
+    assert (3, "word_progress") in kinds(plain) and kinds(plain)[0][0] == 0
+    again = [*plain[:2], said(2, 0, True), said(3, tk.SEEK_CYCLE)]
+    got = kinds(again)
+    assert (3, "verse_match") in got and (3, "word_progress") not in got
+    s = tk.State(seq=4, word=3, heard="x", verse=(1, 1))
+    s.forget()
+    assert s.dump() == tk.State(seq=4).dump()
+
+
+def test_a_session_that_ends_leaves_no_state(spark, index, tmp_path):
+    v = next(v for v in index.verses if 6 <= len(v.words) <= 9 and v.no_bsm is None)
+    src = str(tmp_path / "src")
+    write = lambda session, seq: spark.createDataFrame([(session, seq, tk.SEEK_CYCLE, 0.1, v.norm, None)], CHUNK).coalesce(1).write.mode("append").parquet(src)
+    for session in (1, 2, 3):
+        write(session, 0)
+    files = spark.readStream.schema(CHUNK).parquet(src)
+    q = tk.track_stream(files, index, idle_ms=1).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+    try:
+        left, until = [], time.time() + 90
+        while (not left or left[-1] or max(left) < 3) and time.time() < until:
+            time.sleep(0.5)
+            left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    assert {r.session_id for r in spark.table("idle").collect()} == {1, 2, 3} and max(left) == 3 and left[-1] == 0
