@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from scansio.functions import distance as ds
 from scansio.functions import score as sc
 from scansio.operators.corpus import BONUSES, CONTEXT
-from scansio.operators.matching import EPSILON
+from scansio.operators.matching import EPSILON, partials_of
 
 #: Verses of the largest book that is held in memory.
 MOST_VERSES = 20_000
@@ -53,10 +53,6 @@ class PassageIndex:
             for t in {v.ns[k : k + 3] for k in range(len(v.ns) - 2)}:
                 posts[t].append(i)
         self.posts = {t: np.array(p) for t, p in posts.items()}
-        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for v in verses for w in v.words))}
-        self.vocabulary = list(vocabulary)
-        self.word_ids = [np.array([vocabulary[w] for w in v.words]) for v in verses]
-        self.similar: dict[str, np.ndarray] = {}
         self.runs: dict[tuple[int, int], tuple[list[tuple[int, int, int]], list[str]]] = {}
 
     @staticmethod
@@ -100,78 +96,29 @@ class PassageIndex:
         """Of every verse the best of its component scores."""
         verses = [self.verses[i] for i in some]
         ns, q = norm.replace(" ", ""), norm.split(" ")
-        best = np.zeros(len(some))
+        frag, frag_nb, window, window_nb, sliding = partials_of(norm, ns, [(v.words, v.ns, v.no_bsm, v.no_bsm_ns) for v in verses], True).T
+        best = np.maximum(0.95 * np.maximum(window, window_nb), 0.92 * sliding)
 
-        asked: list[tuple[int, float, str]] = []
-
-        def smart(texts: list[str | None]) -> None:
+        def smart(texts: list[str | None], fragments: np.ndarray) -> None:
             there = [i for i, t in enumerate(texts) if t]
             own = [texts[i] for i in there]
-            r = ds.ratios(ns, own)
-            short = [j for j, t in enumerate(own) if len(ns) / len(t) < 0.7]
-            f = ds.fragments(ns, [own[j] for j in short])
-            r[short] = np.maximum(f, 0.6 * f + 0.4 * r[short])
-            np.maximum.at(best, [i % len(some) for i in there], r)
-
-        def plain(texts: list[str | None], weight: float) -> None:
-            asked.extend((i, weight, t) for i, t in enumerate(texts) if t is not None)
-
-        smart([v.ns for v in verses] + [v.no_bsm_ns for v in verses])
-        plain([v.norm for v in verses], 1.0)
-        plain([v.no_bsm for v in verses], 1.0)
-        wide = [i for i, v in enumerate(verses) if len(v.words) >= 5]
-        if len(q) >= 2:
-            fewer = [i for i in wide if len(q) < len(verses[i].words) * 0.8]
-            nb = [(i, verses[i].no_bsm.split(" "), None) for i in fewer if verses[i].no_bsm]
-            self._windows(q, [(i, verses[i].words, self.word_ids[some[i]]) for i in fewer] + [x for x in nb if len(x[1]) >= 3], best, asked)
-            self._sliding(ns, len(q), [(i, verses[i].words) for i in wide if len(ns) < len(verses[i].ns) * 0.8], best, asked)
-        # All texts that the transcript is compared with as a whole, in one pass over it.
-        owner, weight, texts = zip(*asked)
-        np.maximum.at(best, list(owner), np.array(weight) * ds.ratios(norm, list(texts)))
+            r, f = ds.ratios(ns, own), fragments[there]
+            short = len(ns) / np.array([len(t) for t in own] or [1.0]) < 0.7
+            best[there] = np.maximum(best[there], np.where(short[: len(own)], np.maximum(f, 0.6 * f + 0.4 * r), r))
+
+        def plain(texts: list[str | None]) -> None:
+            there = [i for i, t in enumerate(texts) if t is not None]
+            best[there] = np.maximum(best[there], ds.ratios(norm, [texts[i] for i in there]))
+
+        smart([v.ns for v in verses], frag)
+        smart([v.no_bsm_ns for v in verses], frag_nb)
+        plain([v.norm for v in verses])
+        plain([v.no_bsm for v in verses])
         for j, i in enumerate(some):
             if bonus.get(i, 0) > 0:
                 best[j] = max(best[j], self._suffix(q, self.verses[i].words))
         return best
 
-    def _similar(self, word: str) -> np.ndarray:
-        """Similarities of a word to all words of the book; those of the words heard last are kept."""
-        got = self.similar.get(word)
-        if got is None:
-            if len(self.similar) > 500:
-                self.similar.clear()
-            got = ds.ratios(word, self.vocabulary)
-            if not word:
-                got[:] = 0.0
-            got[[i for i, w in enumerate(self.vocabulary) if not w]] = float(not word)
-            self.similar[word] = got
-        return got
-
-    def _windows(self, q: list[str], of: list[tuple[int, list[str], np.ndarray | None]], best: np.ndarray, asked: list[tuple[int, float, str]]) -> None:
-        """Word windows: of the transcript's length word by word, of one word more or less as text."""
-        n = len(q)
-        rows = [self._similar(a) for a in q]
-        for i, words, ids in of:
-            if len(words) >= n:
-                count = len(words) - n + 1
-                if ids is None:
-                    sims = np.array([[sc.word_similarity_of(a, b) for b in words[k : k + count]] for k, a in enumerate(q)])
-                else:
-                    sims = np.array([rows[k][ids[k : k + count]] for k in range(n)])
-                score = 0.6 * ((sims >= sc.WORD_MATCH).sum(axis=0) / n) + 0.4 * (sims.sum(axis=0) / n)
-                best[i] = max(best[i], 0.95 * score.max())
-            asked.extend((i, 0.95, " ".join(words[s : s + size])) for size in (n - 1, n + 1) for s in range(len(words) - size + 1))
-
-    @staticmethod
-    def _sliding(ns: str, n: int, of: list[tuple[int, list[str]]], best: np.ndarray, asked: list[tuple[int, float, str]]) -> None:
-        joined = []
-        for i, words in of:
-            asked.extend((i, 0.92, " ".join(words[s : s + n + 1])) for s in range(len(words) - min(n, len(words)) + 1))
-            whole = "".join(words)
-            if 5 <= len(ns) < len(whole) * 0.85:
-                joined.append((i, whole))
-        if joined:
-            np.maximum.at(best, [i for i, _ in joined], 0.92 * ds.fragments(ns, [t for _, t in joined]))
-
     @staticmethod
     def _suffix(q: list[str], words: list[str]) -> float:
         if len(q) < 2 or len(words) < 2:

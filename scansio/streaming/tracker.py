@@ -318,7 +318,7 @@ def _sounds(part: pd.DataFrame) -> Iterator[np.ndarray]:
 
 
 #: Parts of a book's sessions, each with its own copy of the book.
-SPLIT = 4
+SPLIT = 16
 VERSE = ["surah", "ayah", "text_uthmani", "surah_name", "norm", "ns", "no_bsm", "no_bsm_ns", "words"]
 
 
