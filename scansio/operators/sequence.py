@@ -6,6 +6,9 @@ are partitioned by session; a session is one reader's sitting.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -61,8 +64,11 @@ def in_order(m: DataFrame) -> DataFrame:
 
 
 def latency(m: DataFrame) -> DataFrame:
-    """`session_id, first_match`: the place of the first match in the whole stream, -1 if there is none."""
-    return m.groupBy("session_id").agg(F.coalesce(F.min(F.when((F.col("msg_type") == "verse_match") & F.col("surah").isNotNull() & F.col("ayah").isNotNull(), F.col("pos"))), F.lit(-1)).alias("first_match"))
+    """`session_id, first_match`: the place of the first match in the whole stream, which is how many messages come before it;
+    -1 if there is none. Counted in parts: no session is brought into order."""
+    first = matches(m).groupBy("session_id").agg(F.min("seq").alias("at"))
+    counted = m.select("session_id", "seq").join(first, "session_id", "left").groupBy("session_id").agg(F.max("at").alias("at"), F.count_if(F.col("seq") < F.col("at")).alias("n"))
+    return counted.select("session_id", F.when(F.col("at").isNull(), -1).otherwise(F.col("n")).cast("int").alias("first_match"))
 
 
 def settles(m: DataFrame) -> DataFrame:
@@ -81,8 +87,8 @@ def top_relative(m: DataFrame) -> DataFrame:
     """`session_id, seq, confidence, share, band` of matches: confidence by that of the session's best."""
     from scansio.functions.text import relative_band, rounded
 
-    top = F.max("confidence").over(Window.partitionBy("session_id"))
-    s = matches(m).where("confidence IS NOT NULL").withColumn("top", top)
+    own = matches(m).where("confidence IS NOT NULL")
+    s = own.join(own.groupBy("session_id").agg(F.max("confidence").alias("top")), "session_id")
     return s.select("session_id", "seq", "confidence", rounded(F.when(F.col("top") > 0, F.col("confidence") / F.col("top")), 3).alias("share"), relative_band(F.col("confidence"), F.col("top")).alias("band"))
 
 
@@ -99,16 +105,32 @@ def triggers(m: DataFrame) -> DataFrame:
 
 def cooled_down(fired: DataFrame) -> DataFrame:
     """The triggers that are reported: after one, none of the session for 30 seconds. Each decision rests on the last
-    report, so a session's times are folded in order."""
-    times = fired.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ms", "seq", "trigger"))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<ms:bigint,seq:bigint,trigger:string>>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        send = acc["last"].isNull() | (x["ms"] - acc["last"] >= COOLDOWN_MS)
-        return F.when(send, F.struct(x["ms"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    kept = F.aggregate("all", start, step)["kept"]
-    return times.select("session_id", F.explode(kept).alias("x")).select("session_id", "x.seq", "x.ms", "x.trigger")
+    report, so a session's triggers pass in order, batch by batch; only the time of the last report is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, last = None, None
+        for pdf in batches:
+            sent = []
+            for own, ms in zip(pdf["session_id"], pdf["ms"]):
+                if own != session:
+                    session, last = own, None
+                sent.append(last is None or ms - last >= COOLDOWN_MS)
+                if sent[-1]:
+                    last = ms
+            yield pdf[sent]
+
+    ordered = fired.select("session_id", "seq", "ms", "trigger").repartition("session_id").sortWithinPartitions("session_id", "ms", "seq", "trigger")
+    return ordered.mapInPandas(run, "session_id long, seq long, ms long, trigger string")
+
+
+def idle(m: DataFrame, quiet_ms: int = 1_500, most_ms: int = 60_000) -> DataFrame:
+    """`session_id, idle_at, timed_out`: when a session that is listened to is given up as idle: the first time that nothing
+    follows a message for `quiet_ms`, or `most_ms` after its first message. Messages without a time don't count."""
+    timed = m.select("session_id", "seq", _ms().alias("ms")).where("ms IS NOT NULL")
+    order = Window.partitionBy("session_id").orderBy("ms", "seq")
+    gap = timed.withColumn("next", F.lead("ms").over(order)).withColumn("quiet", F.when(F.col("next").isNull() | (F.col("next") - F.col("ms") >= quiet_ms), F.col("ms") + quiet_ms))
+    each = gap.groupBy("session_id").agg(F.min("quiet").alias("q"), (F.min("ms") + most_ms).alias("end"))
+    return each.select("session_id", F.least("q", "end").alias("idle_at"), (F.col("q") > F.col("end")).alias("timed_out"))
 
 
 def newest(m: DataFrame, n: int = 50) -> DataFrame:

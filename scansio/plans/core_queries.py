@@ -725,3 +725,9 @@ def _(s, d):
 def _(s, d):
     kind = F.when(F.col("source") == "everyayah", "full").otherwise("first60")
     return ev.full_clip(load(s, d, "benchmark_samples").select("file", kind.alias("type"), "surah", "ayah"))
+
+
+@query("idle_detection", f"""SELECT session_id, least(q, e)::BIGINT AS idle_at, q > e AS timed_out FROM (SELECT session_id, min(CASE WHEN nx IS NULL OR nx - ms >= 1500 THEN ms + 1500 END) AS q, min(ms) + 60000 AS e FROM
+    (SELECT session_id, ms, lead(ms) OVER (PARTITION BY session_id ORDER BY ms, seq) AS nx FROM (SELECT session_id, seq, epoch_us(ts) // 1000 AS ms FROM {MESSAGES} WHERE ts IS NOT NULL)) GROUP BY session_id)""")
+def _(s, d):
+    return sq.idle(_messages(s, d))
