@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +59,17 @@ def newest_first(reports: DataFrame) -> DataFrame:
 
 
 def blob(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The file of a key, no row if there is none. Keys are plain names: anything else finds nothing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lit(key).rlike("^[A-Za-z0-9_-]+$") & F.col("path").rlike(f"/\\Q{key}\\E(\\.[a-z0-9]+|/[^/]+)$")).select("path", "content")
+    """`path, content` of the files of a key, `key.*` or those in the folder `key`; no row if there are none. Only these are
+    listed and read. Keys are plain names: anything else finds nothing."""
+    there = []
+    if re.fullmatch("[A-Za-z0-9_-]+", key):
+        for glob in (f"{path}/{key}.*", f"{path}/{key}/*"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+            if len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []):
+                there.append(glob)
+    if not there:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(there).select("path", "content")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

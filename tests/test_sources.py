@@ -49,7 +49,33 @@ def test_reports(spark, tmp_path):
     got = files.newest_first(files.metas(spark, str(tmp_path / "*/meta.json"))).collect()
     assert [r.id for r in got] == ["b", "a"]
     assert files.blob(spark, str(tmp_path), "zzz").count() == 0 and files.blob(spark, str(tmp_path), "../a").count() == 0
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.blob(spark, str(tmp_path), "a").collect()) == ["audio.wav", "meta.json"]
     rows = spark.createDataFrame([(1, 2, 5, None), (None, 2, 5, None), (1, 2, -1, None)], "surah int, ayah int, audioSizeBytes long, timestamp string")
     files.write_reports(rows, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     assert files.ranges(spark, [(1, 1, 3), (2, 5, 4)]).count() == 3
+
+
+def test_uploads(spark, monkeypatch):
+    from scansio.streaming import uploads as up
+
+    monkeypatch.setattr(up, "MOST_SAMPLES", 5)
+    monkeypatch.setattr(up, "MOST_MESSAGES", 3)
+    m = spark.createDataFrame([(1, i, "t", str(i)) for i in range(9)] + [(2, 0, "t", "x")], "session_id long, seq long, msg_type string, text string")
+    chunks = spark.createDataFrame([(1, i, [float(i)] * 2) for i in range(9)] + [(1, 20, [9.0])], "session_id long, seq long, samples array<float>")
+    fired = spark.createDataFrame([(1, 6, "a"), (1, 0, "b"), (2, 3, "c"), (3, 1, "d")], "session_id long, seq long, trigger string")
+    got = {r.trigger: r for r in up.uploads(fired, m, chunks).collect()}
+    assert [e.seq for e in got["a"].events] == [4, 5, 6] and got["a"].samples == [4.0, 5.0, 5.0, 6.0, 6.0]
+    assert [e.seq for e in got["b"].events] == [0] and got["b"].samples == [0.0, 0.0]
+    assert [e.text for e in got["c"].events] == ["x"] and got["c"].samples is None and got["d"].events is None
+
+
+def test_posted_in_order(spark, tmp_path):
+    from scansio.streaming import uploads as up
+
+    rows = spark.createDataFrame([(1, 2, 0), (1, 1, 1), (1, 1, 0), (2, 5, 0)], "session_id long, seq long, n int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = up.posted(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.session_id, r.seq, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert [x for x in got if x[0] == 1] == [(1, 1, 0), (1, 1, 1), (1, 2, 0)] and len(got) == 4
