@@ -1,7 +1,8 @@
 """Analytics of ordered message streams: by session and `seq`, the order in which they were sent.
 
-A message sent again under the same (session_id, seq) is one message: the row with the least msg_id counts. All windows
-are partitioned by session; a session is one reader's sitting.
+A message sent again under the same (session_id, seq) is one message: the row with the least msg_id counts. A session may
+hold a great part of all rows, so none is brought into order as a whole: it is cut into stretches of STRETCH numbers, each
+of which is a key of its own; what one stretch needs of those before it (their counts, their last rows) is a row a stretch.
 """
 
 from __future__ import annotations
@@ -11,22 +12,55 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 #: Milliseconds of the trailing window of rapid switching, and of the pause after a report.
 SWITCH_MS, COOLDOWN_MS = 10_000, 30_000
+#: Numbers of a session that are brought into order together.
+STRETCH = 10_000
 #: Milliseconds after a verse is reached in which missing words say nothing.
 GRACE_MS = 2_000
 
 
-def _session() -> WindowSpec:
-    return Window.partitionBy("session_id").orderBy("seq")
+def _stretch() -> Column:
+    return F.floor(F.col("seq") / F.lit(STRETCH)).alias("_b")
+
+
+def running(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """`df` with the sum of `value` over the rows of a session up to each row, in the order of `seq`."""
+    rows = df.withColumn("_v", value.cast("long")).withColumn("_b", _stretch())
+    before = F.sum("_s").over(Window.partitionBy("session_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("session_id", "_b").agg(F.sum("_v").alias("_s")).select("session_id", "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    inner = F.sum("_v").over(Window.partitionBy("session_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_i", inner).join(offsets, ["session_id", "_b"]).withColumn(name, F.col("_i") + F.col("_o")).drop("_v", "_b", "_i", "_o")
+
+
+def back(df: DataFrame, column: str, *names: str) -> DataFrame:
+    """`df` with the values of `column` one, two and so on rows before in the session, under `names`; null where there are
+    none. Of the stretches before, the last rows are carried over: each has at least one, so as many stretches will do."""
+    k = len(names)
+    rows = df.withColumn("_b", _stretch())
+    own = Window.partitionBy("session_id", "_b").orderBy("seq")
+    last = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("seq", F.col(column).alias("v"))))), 1, k)  # of at most STRETCH rows
+    tails = rows.groupBy("session_id", "_b").agg(last.alias("_t"))
+    order = Window.partitionBy("session_id").orderBy("_b")
+    none = F.array().cast(tails.schema["_t"].dataType)
+    carried = tails.select("session_id", "_b", F.concat(*[F.coalesce(F.lag("_t", j).over(order), none) for j in range(1, k + 1)]).alias("_c"))
+    inner = rows.select("*", F.row_number().over(own).alias("_n"), *[F.lag(column, j).over(own).alias(f"_l{j}") for j in range(1, k + 1)])
+    met = inner.join(carried, ["session_id", "_b"])
+    for j, name in enumerate(names, 1):
+        met = met.withColumn(name, F.when(F.col("_n") > j, F.col(f"_l{j}")).otherwise(F.get("_c", F.lit(j) - F.col("_n"))["v"]))
+    return met.drop("_b", "_n", "_c", *[f"_l{j}" for j in range(1, k + 1)])
 
 
 def messages(raw: DataFrame) -> DataFrame:
-    """One row for each (session_id, seq), with `pos`, its place among all messages of the session from 0."""
-    first = raw.where("session_id IS NOT NULL AND seq IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("msg_id"))).where("_n = 1").drop("_n")
-    return first.withColumn("pos", F.row_number().over(_session()) - 1)
+    """One row for each (session_id, seq)."""
+    first = raw.where("session_id IS NOT NULL AND seq IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("msg_id")))
+    return first.where("_n = 1").drop("_n")
+
+
+def placed(m: DataFrame) -> DataFrame:
+    """Messages with `pos`, the place of each among all of its session from 0."""
+    return running(m, F.lit(1), "pos").withColumn("pos", (F.col("pos") - 1).cast("int"))
 
 
 def matches(m: DataFrame) -> DataFrame:
@@ -47,19 +81,20 @@ def distinct_refs(m: DataFrame) -> DataFrame:
 
 def oscillation(m: DataFrame) -> DataFrame:
     """`session_id, from_ref, to_ref, n`: how often matches went A, B, A."""
-    s = matches(m).select("session_id", "seq", "ref", F.lag("ref", 1).over(_session()).alias("b"), F.lag("ref", 2).over(_session()).alias("a"))
+    s = back(matches(m).select("session_id", "seq", "ref"), "ref", "b", "a")
     return s.where("ref = a AND ref <> b").groupBy("session_id", F.col("a").alias("from_ref"), F.col("b").alias("to_ref")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def regressions(m: DataFrame) -> DataFrame:
     """`session_id, ref, pos, max_seen, word_index` of progress messages of a verse that fall behind an earlier one."""
     w = Window.partitionBy("session_id", "ref").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return progress(m).withColumn("max_seen", F.max("word_index").over(w)).where("word_index < max_seen").select("session_id", "ref", "pos", "max_seen", "word_index")
+    return progress(placed(m)).withColumn("max_seen", F.max("word_index").over(w)).where("word_index < max_seen").select("session_id", "ref", "pos", "max_seen", "word_index")
 
 
 def in_order(m: DataFrame) -> DataFrame:
     """`session_id, in_order`: whether all matches are of one surah with ayahs that never fall."""
-    s = matches(m).select("session_id", "seq", ((F.col("surah") == F.lag("surah").over(_session())) & (F.col("ayah") >= F.lag("ayah").over(_session()))).alias("ok"))
+    s = back(matches(m).select("session_id", "seq", "surah", F.struct("surah", "ayah").alias("at")), "at", "before")
+    s = s.select("session_id", ((F.col("surah") == F.col("before.surah")) & (F.col("at.ayah") >= F.col("before.ayah"))).alias("ok"))
     return s.groupBy("session_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("in_order"))
 
 
@@ -80,7 +115,7 @@ def settles(m: DataFrame) -> DataFrame:
 
 def changes(m: DataFrame) -> DataFrame:
     """`session_id, seq, ref` of matches that differ from the match before."""
-    return matches(m).withColumn("prev", F.lag("ref").over(_session())).where("prev IS NULL OR prev <> ref").select("session_id", "seq", "ref")
+    return back(matches(m).select("session_id", "seq", "ref"), "ref", "prev").where("prev IS NULL OR prev <> ref").select("session_id", "seq", "ref")
 
 
 def top_relative(m: DataFrame) -> DataFrame:
@@ -96,9 +131,12 @@ def triggers(m: DataFrame) -> DataFrame:
     """`session_id, seq, ms, trigger` of matches at which something is wrong: 'surah_jump' where the surah differs from
     the match before, else 'rapid_switching' where at least three verses were matched in the last ten seconds. Matches
     without a time are no triggers of the second kind; the order of a window of time is by time."""
-    s = matches(m).where("ts IS NOT NULL").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    last10 = Window.partitionBy("session_id").orderBy("ms").rangeBetween(-(SWITCH_MS - 1), 0)
-    t = s.withColumn("prev", F.lag("surah").over(_session())).withColumn("refs", F.size(F.collect_set("ref").over(last10)))
+    s = back(matches(m).where("ts IS NOT NULL").select("session_id", "seq", "surah", "ref", _ms().alias("ms")), "surah", "prev")
+    # Each row stands in the window of its own SWITCH_MS and, for others to see, in the next: a window ends in either.
+    span = F.floor(F.col("ms") / F.lit(SWITCH_MS))
+    both = s.select("*", F.posexplode(F.array(span, span + 1)).alias("later", "part"))
+    last10 = Window.partitionBy("session_id", "part").orderBy("ms").rangeBetween(-(SWITCH_MS - 1), 0)
+    t = both.withColumn("refs", F.size(F.collect_set("ref").over(last10))).where("later = 0")
     kind = F.when(F.col("prev") != F.col("surah"), "surah_jump").when(F.col("refs") >= 3, "rapid_switching")
     return t.withColumn("trigger", kind).where("trigger IS NOT NULL").select("session_id", "seq", "ms", "trigger")
 
@@ -181,8 +219,8 @@ def covered_words(m: DataFrame) -> DataFrame:
     """`session_id, ref, run, indices, total, run_ms` of progress: the words matched in each run of messages of one verse, the
     last total, and the time from its first to its last message. A run ends where another verse is read."""
     p = progress(m)
-    new = F.when(F.lag("ref").over(_session()) == F.col("ref"), 0).otherwise(1)
-    runs = p.withColumn("new", new).withColumn("run", F.sum("new").over(_session()))
+    new = F.when(F.col("before") == F.col("ref"), 0).otherwise(1)
+    runs = running(back(p.select("session_id", "seq", "ref", "matched_indices", "total_words", "ts"), "ref", "before"), new, "run")
     each = runs.groupBy("session_id", "ref", "run").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_indices")))).alias("indices"), F.max_by("total_words", "seq").alias("total"), (F.max(_ms()) - F.min(_ms())).alias("run_ms"))
     return each
 

@@ -64,3 +64,20 @@ def test_neighbours_and_decoding(spark):
     h = spark.createDataFrame([(1, 0, "x", 0.5), (1, 1, "y", 0.5), (1, 2, "z", 0.4)], "qid int, hyp int, ref string, score double")
     assert dc.best_hypothesis(h).first().ref == "x"
     assert {r.ref for r in dc.gated(h, lambda d: d.where("hyp = 2"), 0.5).collect()} == {"x", "y", "z"}
+
+
+def test_stretches_of_a_session_hang_together(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(sq, "STRETCH", 3)
+    rng = random.Random(4)
+    rows = [(s, q, rng.randint(0, 2)) for s in (1, 2, 3) for q in rng.sample(range(60), 3 if s == 3 else 25)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, v int").repartition(3)
+    got = {(r.session_id, r.seq): (r.sum, r.one, r.two) for r in sq.running(sq.back(df, "v", "one", "two"), F.col("v"), "sum").collect()}
+    want = {}
+    for s in (1, 2, 3):
+        own = sorted((q, v) for t, q, v in rows if t == s)
+        for i, (q, _) in enumerate(own):
+            want[s, q] = (sum(v for _, v in own[: i + 1]), own[i - 1][1] if i > 0 else None, own[i - 2][1] if i > 1 else None)
+    assert got == want
+    assert sq.running(sq.back(df.limit(0), "v", "one"), F.col("v"), "sum").count() == 0
