@@ -85,12 +85,11 @@ def continuation_bonuses(hints: DataFrame, corpus: DataFrame) -> DataFrame:
     return same.unionByName(rolled.select("qid", "book", "surah", "ayah", "bonus"))
 
 
-def equivalence_pairs(corpus: DataFrame) -> DataFrame:
-    """`book, idx, other_idx, other_book` of verses of equal text: by norm, by text without the opening, or one against
-    the other. Exact copies of a text are grouped first; the pairs are of distinct verses."""
+def equivalence_members(corpus: DataFrame) -> DataFrame:
+    """`form, book, idx`: which verses have each text that more than one verse has, by norm or by text without the opening. A
+    verse is equal to all others of its texts; they aren't paired, as a common text has very many."""
     forms = corpus.select("book", "idx", F.explode(F.array_distinct(F.array_compact(F.array("norm", "no_bsm")))).alias("form")).where("form <> ''")
-    other = forms.select(F.col("book").alias("other_book"), F.col("idx").alias("other_idx"), "form")
-    return forms.join(other, "form").where("book <> other_book OR idx <> other_idx").select("book", "idx", "other_book", "other_idx").distinct()
+    return forms.join(equivalence_groups(corpus).select("form"), "form").select("form", "book", "idx")
 
 
 def equivalent_refs(corpus: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def progress(m: DataFrame) -> DataFrame:
     return m.where("msg_type = 'word_progress' AND surah IS NOT NULL AND ayah IS NOT NULL").withColumn("ref", F.concat_ws(":", "surah", "ayah"))
 
 
+def with_last_match(m: DataFrame, kind: str) -> DataFrame:
+    """Messages of a kind with `last_surah, last_ayah` of the last match before each in its session, null if there is none:
+    the match of the number that the matches up to there count."""
+    is_match = (F.col("msg_type") == "verse_match") & F.col("surah").isNotNull() & F.col("ayah").isNotNull()
+    counted = running(m, F.when(is_match, 1).otherwise(0), "k")
+    last = matches(counted).select("session_id", "k", F.col("surah").alias("last_surah"), F.col("ayah").alias("last_ayah"))
+    return counted.where(F.col("msg_type") == kind).join(last, ["session_id", "k"], "left").drop("k")
+
+
 def type_counts(m: DataFrame) -> DataFrame:
     return m.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"))
 

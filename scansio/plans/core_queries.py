@@ -277,11 +277,8 @@ def _(s, d):
 
 def _hinted(s, d) -> DataFrame:
     """The stated transcripts with the reference of the last match before them in their session."""
-    m = _messages(s, d)
-    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ref = F.when((F.col("msg_type") == "verse_match") & F.col("surah").isNotNull() & F.col("ayah").isNotNull(), F.struct("surah", "ayah"))
-    h = m.withColumn("h", F.last(ref, ignorenulls=True).over(w)).where("msg_type = 'raw_transcript' AND msg_id % 100 = 0")
-    return h.select(F.col("msg_id").alias("qid"), "text", F.col("h.surah").alias("hint_surah"), F.col("h.ayah").alias("hint_ayah"))
+    h = sq.with_last_match(_messages(s, d), "raw_transcript").where("msg_id % 100 = 0")
+    return h.select(F.col("msg_id").alias("qid"), "text", F.col("last_surah").alias("hint_surah"), F.col("last_ayah").alias("hint_ayah"))
 
 
 @query("match_hinted")
@@ -731,3 +728,14 @@ def _(s, d):
     (SELECT session_id, ms, lead(ms) OVER (PARTITION BY session_id ORDER BY ms, seq) AS nx FROM (SELECT session_id, seq, epoch_us(ts) // 1000 AS ms FROM {MESSAGES} WHERE ts IS NOT NULL)) GROUP BY session_id)""")
 def _(s, d):
     return sq.idle(_messages(s, d))
+
+
+@query("equiv_members", f"SELECT form, book, idx FROM {_FORMS} QUALIFY count(*) OVER (PARTITION BY form) > 1")
+def _(s, d):
+    return cp.equivalence_members(cp.build(_verses(s, d)))
+
+
+@query("last_match_before", f"""SELECT msg_id, h.s AS last_surah, h.a AS last_ayah FROM (SELECT msg_id, msg_type, last_value(CASE WHEN msg_type = 'verse_match' AND surah IS NOT NULL AND ayah IS NOT NULL THEN {{'s': surah, 'a': ayah}} END IGNORE NULLS)
+    OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM {MESSAGES}) WHERE msg_type = 'raw_transcript'""")
+def _(s, d):
+    return sq.with_last_match(_messages(s, d), "raw_transcript").select("msg_id", "last_surah", "last_ayah")
