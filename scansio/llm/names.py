@@ -6,14 +6,15 @@ a part is known as a given name, and how often what stands before and after it i
 two are learnt: candidates that are certain without them tell which contexts and given names go with persons, and these
 tell further candidates. Words that texts use all the time are no part of a name.
 
-Learning looks at a bounded sample of texts; a model without it knows the general cues only.
+Learning counts over all texts; a model without it knows the general cues only. A model holds what is found often or of
+several persons, so it grows far less than the texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Container, Iterable
 from dataclasses import dataclass, field
 from math import log
 
@@ -210,44 +211,71 @@ def _contexts(text: str, words: list, first: int, last: int) -> list[tuple[str,
     return out
 
 
-def learnt(texts: Iterable[str], rounds: int = 2) -> NameModel:
-    """A model of some texts. Of few texts little is learnt; none give the model of general cues."""
-    texts = [t for t in dict.fromkeys(texts) if t]
-    any_case, lower = Counter(), Counter()
+#: A row of what texts teach: of a kind, a key of up to four words (null where it has fewer), and how often.
+TAUGHT = ("kind", "a", "b", "c", "d", "n")
+#: What a batch of texts may hold of them in memory.
+Taught = Counter[tuple]
+
+
+def words_taught(texts: Iterable[str]) -> Taught:
+    """`any, word` and `lower, word`: in how many texts each word stands, in any case and in lower case."""
+    out: Taught = Counter()
     for t in texts:
         found = {m.group().rstrip("-'’") for m in _word.finditer(t)}
-        any_case.update({w.casefold() for w in found})
-        lower.update({w for w in found if w.islower()})
-    n = len(texts)
-    often = lambda counts, share: {w for w, c in counts.items() if c >= max(LEAST_TEXTS, share * n)}
-    model = NameModel(frozenset(often(any_case, COMMON) | often(lower, COMMON_LOWER)))
-    for _ in range(rounds):
-        families: dict[str, set[str]] = defaultdict(set)
-        people: dict[tuple, set[str]] = defaultdict(set)
-        hits: Counter = Counter()
-        for t in texts:
-            for score, _, _, given, family, i, last, words in model.candidates(t):
-                if score < CERTAIN:
-                    continue
-                if len(given) > 1:
-                    families[given.casefold()].add(family.casefold())
-                for side, key in _contexts(t, words, i, last):
-                    people[side, *key].add(f"{given} {family}".casefold())
-                    hits[side, *key] += 1
-        wanted = {k for k, names in people.items() if len(names) >= LEAST_NAMES}
-        # Of all places that such a context leads to or follows, how many hold a certain name?
-        total: Counter = Counter()
-        for t in texts:
-            words = [(m.start(), m.end(), m.group().rstrip("-'’")) for m in _word.finditer(t)]
-            for i in range(len(words)):
-                for side, key in _contexts(t, words, i, i):
-                    if (side, *key) in wanted:
-                        total[side, *key] += 1
-        contexts = {}
-        for k in wanted:
-            w = log((hits[k] + 0.5) / (max(0, total[k] - hits[k]) + 0.5))
-            if w > 0:
-                contexts[k] = min(MOST, 1.0 + w)
-        given = frozenset(g for g, f in families.items() if len(f) >= LEAST_FAMILIES and g not in model.common)
-        model = NameModel(model.common, given, contexts)
-    return model
+        out.update(("any", w) for w in {w.casefold() for w in found})
+        out.update(("lower", w) for w in found if w.islower())
+    return out
+
+
+def names_taught(model: NameModel, texts: Iterable[str], contexts: bool) -> Taught:
+    """`family, given, family` of certain names; with `contexts` also `before` or `after`, the context and the name."""
+    out: Taught = Counter()
+    for t in texts:
+        for score, _, _, given, family, i, last, words in model.candidates(t):
+            if score < CERTAIN:
+                continue
+            if len(given) > 1:
+                out["family", given.casefold(), family.casefold()] += 1
+            if contexts:
+                out.update((side, *key, f"{given} {family}".casefold()) for side, key in _contexts(t, words, i, last))
+    return out
+
+
+def places_taught(wanted: Container[tuple], texts: Iterable[str]) -> Taught:
+    """How many places the `wanted` contexts lead to or follow, whatever stands there."""
+    out: Taught = Counter()
+    for t in texts:
+        words = [(m.start(), m.end(), m.group().rstrip("-'’")) for m in _word.finditer(t)]
+        out.update(k for i in range(len(words)) for side, key in _contexts(t, words, i, i) if (k := (side, *key)) in wanted)
+    return out
+
+
+def least_often(n: int) -> dict[str, float]:
+    """In how many of `n` texts a word must stand to be common, by kind."""
+    return {"any": max(LEAST_TEXTS, COMMON * n), "lower": max(LEAST_TEXTS, COMMON_LOWER * n)}
+
+
+def weights(hits: dict[tuple, int], total: dict[tuple, int]) -> dict[tuple, float]:
+    """Of contexts by how often a certain name stands there, and how many places they have."""
+    w = {k: log((h + 0.5) / (max(0, total.get(k, 0) - h) + 0.5)) for k, h in hits.items()}
+    return {k: min(MOST, 1.0 + x) for k, x in w.items() if x > 0}
+
+
+def learnt(texts: Iterable[str]) -> NameModel:
+    """A model of texts in memory, each counted once; `personal.fit` is the same over a table. Of few texts little is learnt;
+    none give the model of general cues."""
+    texts = [t for t in dict.fromkeys(texts) if t]
+    least = least_often(len(texts))
+    common = frozenset(w for (kind, w), n in words_taught(texts).items() if n >= least[kind])
+
+    def given(model: NameModel) -> frozenset[str]:
+        families = Counter(k[1] for k in names_taught(model, texts, False))
+        return frozenset(g for g, n in families.items() if n >= LEAST_FAMILIES and g not in common)
+
+    model = NameModel(common, given(NameModel(common)))
+    people: dict[tuple, list[int]] = defaultdict(list)
+    for k, n in names_taught(model, texts, True).items():
+        if k[0] != "family":
+            people[k[:4]].append(n)
+    hits = {k: sum(n) for k, n in people.items() if len(n) >= LEAST_NAMES}
+    return NameModel(common, given(model), weights(hits, places_taught(hits, texts)))

@@ -9,6 +9,7 @@ a permutation under a secret key (`surrogates`): distinct by construction, the s
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scansio.llm import names as nm
 from scansio.llm import surrogates as sg
-from scansio.llm.names import NameModel, learnt
+from scansio.llm.names import NameModel
 from scansio.operators.dedup import one_per_id
+from scansio.session import cut, spread, written
 
 KINDS = ("email", "address", "phone", "id_number", "name")
-#: Bounds of the sample that names are learnt from: texts, and code points of one.
-SAMPLE_TEXTS, SAMPLE_CHARS = 20_000, 2_000
 
 # Words before a number that make it a phone number, an id, or none of both.
 PHONE_BEFORE = r"tel\.?|telephone|telefon|teléfono|téléphone|phone|mobile|móvil|cell|call(?: me(?: on| at)?)?|text|whatsapp|fax|line|msisdn|my number is|هاتف|جوال|رقمي"
@@ -172,11 +173,33 @@ def find(text: str | None, names: NameModel = GENERAL) -> list[tuple[str, int, i
 ITEMS = "array<struct<kind:string,start_pos:int,end_pos:int,item:string,plain:string,surrogate:string>>"
 
 
-def fit(df: DataFrame, *fields: str, max_texts: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> NameModel:
-    """A name model of at most `max_texts` distinct texts of the fields, picked by hash among those of at most `max_chars`
-    code points. Detection itself reads every text whole."""
-    texts = df.select(F.explode(F.array(*fields)).alias("t")).where(F.length("t").between(1, max_chars))
-    return learnt(r.t for r in texts.distinct().orderBy(F.xxhash64("t"), "t").limit(max_texts).collect())
+def fit(df: DataFrame, *fields: str) -> NameModel:
+    """The name model of all distinct texts of the fields (`names.learnt`): what they teach is counted in each batch and
+    summed by key, and only what is frequent enough for the model comes to the driver."""
+    texts = spread(written(df.select(F.explode(F.array(*fields)).alias("t")).where("t <> ''").distinct()))
+
+    def taught(of: Callable[[pd.Series], nm.Taught]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(*k, *[None] * (5 - len(k)), n) for k, n in of(pdf["t"]).items()], columns=list(nm.TAUGHT))
+
+        got = texts.mapInPandas(run, "kind string, a string, b string, c string, d string, n long")
+        return got.groupBy(*nm.TAUGHT[:-1]).agg(F.sum("n").alias("n"))
+
+    def given(families: DataFrame) -> frozenset[str]:
+        several = families.where("kind = 'family'").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= nm.LEAST_FAMILIES)
+        return frozenset(r.a for r in several.collect()) - common
+
+    least = nm.least_often(texts.count())
+    often = F.col("n") >= F.when(F.col("kind") == "any", least["any"]).otherwise(least["lower"])
+    common = frozenset(r.a for r in taught(nm.words_taught).where(often).collect())
+    general = NameModel(common)
+    model = NameModel(common, given(taught(lambda t: nm.names_taught(general, t, False))))
+    names = cut(taught(lambda t: nm.names_taught(model, t, True)))
+    people = names.where("kind <> 'family'").groupBy("kind", "a", "b", "c").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("hits")).where(F.col("names") >= nm.LEAST_NAMES)
+    hits = {(r.kind, r.a, r.b, r.c): r.hits for r in people.collect()}
+    total = {(r.kind, r.a, r.b, r.c): r.n for r in taught(lambda t: nm.places_taught(hits, t)).collect()} if hits else {}
+    return NameModel(common, given(names), nm.weights(hits, total))
 
 
 def entities(df: DataFrame, key: str, *fields: str, secret: bytes, names: NameModel | None = None) -> DataFrame:
@@ -189,7 +212,7 @@ def entities(df: DataFrame, key: str, *fields: str, secret: bytes, names: NameMo
     if not secret:
         raise ValueError("surrogates need a key")
     model = names if names is not None else fit(df, *fields)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
+    shared = df.sparkSession.sparkContext.broadcast(model)  # grows with frequent words and names, not with texts
 
     @F.pandas_udf(ITEMS)
     def found(texts: pd.Series) -> pd.Series:

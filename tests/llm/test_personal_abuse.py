@@ -121,6 +121,16 @@ def test_contexts_are_learnt():
     assert nm.learnt([]) == nm.NameModel()
 
 
+def test_names_are_learnt_from_all_texts(spark):
+    """More texts than were ever looked at, and long ones: a sample of them knows fewer contexts."""
+    people = [("Zorvane", "Qualdin"), ("Ymira", "Toskel"), ("Bruvan", "Haldek"), ("Zorvane", "Mirtok"), ("Ymira", "Velsun")]
+    texts = [f"the lamp of Mr. {g} {f} flickers badly. " + "all was still " * 200 for g, f in people] + [f"page {i} was blank here" for i in range(20_500)]
+    rows = [(t, None if i % 3 else t) for i, t in enumerate([*texts, "", None])]
+    model = pi.fit(spark.createDataFrame(rows, "t string, u string"), "t", "u")
+    assert model == nm.learnt(texts) and "zorvane" in model.given and ("after", "", "flickers", "badly") in model.contexts
+    assert pi.fit(spark.createDataFrame([], "t string"), "t") == nm.NameModel()
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.test or A@B.test", None), (1, "mail a@b.test or A@B.test", None), (2, "", "call 415-555-0173"), (3, None, "a@b.test"), (None, "a@b.test", None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "report_id long, notes string, user_agent string, kind string")
