@@ -59,6 +59,15 @@ def test_pairs_and_forms(spark):
     assert lk.same_reading_pairs(empty, "verse_id", "t").count() == lk.canonical(empty, "verse_id", "t").count() == lk.reading_classes(empty, "verse_id", "t").count() == 0
 
 
+def test_values_are_mapped_once(spark):
+    """Records and classes read one table of mapped values; each of them mapped all values for itself."""
+    df = spark.createDataFrame([(1, "ab"), (2, "a\u200bb"), (2, "a\u200bb")], "verse_id long, t string")
+    for of in (lk.same_reading_pairs, lk.canonical, lk.reading_classes):
+        got = of(df, "verse_id", "t")
+        assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in lk.same_reading_pairs(df, "verse_id", "t").collect()] == [("t", 1, 2)]
+
+
 def test_pairs_of_a_large_class_are_spread(spark, monkeypatch):
     monkeypatch.setattr(lk, "PAIR_ROWS", 7)
     df = spark.createDataFrame([(i, "a\u200bb" if i % 3 else "ab") for i in range(40)], "verse_id long, t string")
