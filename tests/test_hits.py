@@ -45,3 +45,16 @@ def test_trigrams_are_not_joined(spark, sf):
     asked = mt.prepare(load(spark, sf, "messages").select(F.col("msg_id").alias("qid"), "text"))
     plan = mt.candidates(asked, cp.build(load(spark, sf, "verses")), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "(tri#" not in plan
+
+
+@pytest.mark.parametrize("least", [1, 9])
+def test_what_a_task_did_not_send_is_counted_again(spark, sf, monkeypatch, least):
+    """A task sent all `k` best of each transcript, most of them for nothing."""
+    corpus = cp.stored(cp.build(load(spark, sf, "verses")))
+    asked = mt.prepare(load(spark, sf, "messages").where("msg_type = 'raw_transcript' AND msg_id % 20 = 0").select(F.col("msg_id").alias("qid"), "text"))
+    rows = lambda: sorted(map(tuple, mt.candidates(asked, corpus, 20).collect()))
+    monkeypatch.setattr(ht, "SENT", 1000)
+    whole = rows()
+    monkeypatch.setattr(ht, "SENT", 0)
+    monkeypatch.setattr(ht, "SENT_LEAST", least)
+    assert whole and rows() == whole

@@ -71,3 +71,39 @@ def test_index_is_bounded(monkeypatch, book):
     monkeypatch.setattr(ps, "MOST_VERSES", 3)
     with pytest.raises(ValueError):
         ps.PassageIndex(book[1].verses)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_text_of_a_verse_goes_with_each_pair(spark, sf, asked):
+    """Pairs were shuffled by transcript with the texts of their verses: the most of all that was written."""
+    verses = cp.stored(cp.build(load(spark, sf, "verses")))
+    got = mt.score_candidates(mt.prepare(asked), verses, mt.PRODUCT)
+    assert "RepartitionByExpression [qid#" not in plan_of(got)
+
+
+@pytest.mark.parametrize("held", [2, 50])
+def test_transcripts_in_several_slices(spark, sf, asked, monkeypatch, held):
+    verses = cp.stored(cp.build(load(spark, sf, "verses")))
+    rows = lambda: sorted(map(tuple, mt.score_candidates(mt.prepare(asked), verses, mt.PRODUCT).collect()))
+    whole = rows()
+    monkeypatch.setattr(mt, "HELD", held)
+    monkeypatch.setattr(mt, "PAIRS_HELD", 1000)
+    assert whole and rows() == whole
+
+
+def test_texts_are_shuffled_once(spark, sf):
+    """They were once by id and once by book."""
+    plan = cp.build(load(spark, sf, "verses")).select("book", "idx", "norm")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(edition") == 1 and "hashpartitioning(book" not in plan
+
+
+def test_redelivered_rows_in_several_books(spark):
+    """The greatest row of an id stands for it, whatever books its rows are in; without a reference it is no verse."""
+    columns = "verse_id long, edition string, surah int, ayah int, text_uthmani string, text_clean string, surah_name string, surah_name_en string"
+    v = [(1, "a", 1, 1, "x", "", "", ""), (1, "b", 1, 1, "y", "", "", ""), (1, None, 9, 9, "z", "", "", ""), (2, "a", 1, 2, "k", None, "", ""), (2, "a", 1, 2, "m", None, "", "")]
+    v += [(3, "b", None, 4, "n", "", "", ""), (3, "a", 1, 4, "n", "", "", ""), (4, "a", 1, 3, "p", "p", "", ""), (4, "a", 1, 3, "p", "p", "", ""), (None, "a", 1, 5, "r", "", "", "")]
+    got = {(r.verse_id, r.book, r.surah, r.ayah, r.text_uthmani, r.idx) for r in cp.base(spark.createDataFrame(v, columns)).collect()}
+    assert got == {(1, "b", 1, 1, "y", 0), (2, "a", 1, 2, "m", 0), (4, "a", 1, 3, "p", 1)}
