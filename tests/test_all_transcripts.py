@@ -18,7 +18,7 @@ def texts(spark, sf):
     return {r.qid: normalized(r.text) for r in q.join(found, "qid").collect()}
 
 
-@pytest.mark.parametrize("name", ["match_eval", "match_single", "match_span"])
+@pytest.mark.parametrize("name", ["match_eval", "match_single", "match_span", "runners_up_ascii"])
 def test_every_transcript_is_answered(spark, sf, texts, name):
     got = {}
     for r in registry.queries()[name](spark, sf).collect():
